@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op3_language
+from .tokens import op9_token_counts
 from .warc import op2_content_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_archive": op2_content_archive,
+    "op3_language": op3_language,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
