@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows per Arrow batch. Texts are long, so batches are short; Python workers
 #: then hold a few MB of text at a time whatever the partition size.
@@ -60,3 +61,10 @@ def pieces(rows: dict[str, pa.Array], size: int = 20_000) -> Iterator[pa.RecordB
     whole = pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
     for at in range(0, whole.num_rows, size):
         yield whole.slice(at, size)
+
+
+def with_columns(df: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, T.StructType]:
+    """``df`` without columns of these names, and its schema with them added:
+    an operator's own output replaces an input column of the same name."""
+    df = df.drop(*kinds)
+    return df, T.StructType([*df.schema, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items())])

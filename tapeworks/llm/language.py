@@ -128,6 +128,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """``rows`` with lang_pred and score appended; the text column comes last
     before them. Other columns pass as they are."""
     langs, prototypes = model[0], model[1].astype(np.float32)
+    rows, schema = common.with_columns(rows, {"lang_pred": "string", "score": "double"})
     place = rows.columns.index(text_col)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,6 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(predict, schema)
 
 

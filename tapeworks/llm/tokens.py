@@ -212,6 +212,7 @@ def transducer(model_file: str) -> Transducer:
 
 def counted(rows: DataFrame, model_file: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """``rows`` with the token count of each whole text appended."""
+    rows, schema = common.with_columns(rows, {out_col: "long"})
     place = rows.columns.index(text_col)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def counted(rows: DataFrame, model_file: str, text_col: str = "text", out_col: s
             n = pa.array([machine.count(t) for t in batch.column(place).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, out_col])
 
-    return rows.mapInArrow(count, rows.schema.add(out_col, "long"))
+    return rows.mapInArrow(count, schema)
 
 
 def tokenizer_file(name: str) -> str:
