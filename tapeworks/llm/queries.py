@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op3_language
+from .quality import op4_line_labels
+from .secrets import op7_secret_scan
 from .tokens import op9_token_counts
 from .warc import op2_content_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_archive": op2_content_archive,
     "op3_language": op3_language,
+    "op4_line_labels": op4_line_labels,
+    "op7_secret_scan": op7_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
 
