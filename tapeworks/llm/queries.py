@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import op10_contamination
 from .language import op3_language
 from .quality import op4_line_labels
 from .secrets import op7_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_labels": op4_line_labels,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_contamination": op10_contamination,
 }
 
 ORACLES: dict[str, str] = {}
