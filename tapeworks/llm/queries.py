@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op10_contamination
 from .language import op3_language
+from .lm import op5_lm_score
 from .packing import op8_packing
 from .quality import op4_line_labels
 from .secrets import op7_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_archive": op2_content_archive,
     "op3_language": op3_language,
     "op4_line_labels": op4_line_labels,
+    "op5_lm_score": op5_lm_score,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
