@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op10_contamination
+from .importance import op6_importance
+from .jaccard import op1_ngram_join
 from .language import op3_language
 from .lm import op5_lm_score
 from .packing import op8_packing
@@ -16,10 +18,12 @@ from .tokens import op9_token_counts
 from .warc import op2_content_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_content_archive": op2_content_archive,
     "op3_language": op3_language,
     "op4_line_labels": op4_line_labels,
     "op5_lm_score": op5_lm_score,
+    "op6_importance": op6_importance,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
