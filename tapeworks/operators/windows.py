@@ -97,7 +97,9 @@ def aggregate(df: DataFrame, win: Win, keys: list[str], aggs: list[Agg], ts: str
     if win.kind == "session":
         if late:
             raise ValueError("late rows of sessions are a matter of streams")
-        grouped = df.groupBy(*keys, F.session_window(event_time(ts), f"{win.size} milliseconds").alias("w")).agg(*map(_direct, aggs))
+        # The count is always used: if a caller drops all aggregates, Spark 4.1 would
+        # plan the grouping without merging the sessions.
+        grouped = df.groupBy(*keys, F.session_window(event_time(ts), f"{win.size} milliseconds").alias("w")).agg(*map(_direct, aggs), F.count("*").alias("__n")).where("__n > 0")
         return grouped.select(*keys, epoch_ms("w.start").alias("window_start"), epoch_ms("w.end").alias("window_end"), *(a.name for a in aggs))
     if win.kind == "tumble" or late or (win.kind == "hop" and win.size % win.step):
         rows = expand(df, win, ts)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: State store that keeps state outside the heap and that stateful Python needs.
@@ -26,4 +30,19 @@ def utc(spark: SparkSession) -> SparkSession:
     """Event times are epoch milliseconds; UTC keeps window starts aligned to it."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return shipped(spark)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, whose Python workers import it; once
+    for a Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_tapeworks_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._tapeworks_shipped = True
     return spark

@@ -26,25 +26,23 @@ class Ordered(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "ts long, id long, value double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times = set()
-        for r in rows:
-            self.waiting.appendValue((r.ts, r.id, r.value))
-            times.add(r.ts)
-        for t in times:
-            self.handle.registerTimer(t)
-        return iter(())
+        new = [(r.ts, r.id, r.value) for r in rows]
+        # One timer for the newest row; older ones leave when later input comes.
+        self.handle.registerTimer(max(r[0] for r in new))
+        return self._leave(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
+        return self._leave(key, expiredTimerInfo.getExpiryTimeInMs(), [])
+
+    def _leave(self, key, limit: int, new: list[tuple]) -> Iterator[Row]:
+        """Hand on the rows up to ``limit``; the others wait."""
+        rows = sorted([*(tuple(r) for r in self.waiting.get()), *new]) if self.waiting.exists() else sorted(new)
         ready, rest = [r for r in rows if r[0] <= limit], [r for r in rows if r[0] > limit]
-        if not ready:
-            return iter(())
         if rest:
             self.waiting.put(rest)
-        else:
+        elif self.waiting.exists():
             self.waiting.clear()
-        return iter(list(self.take(key[0], ready)))
+        return iter(list(self.take(key[0], ready)) if ready else [])
 
     def take(self, key, rows: list[tuple]) -> Iterator[Row]:
         raise NotImplementedError
