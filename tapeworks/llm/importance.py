@@ -94,7 +94,7 @@ def weighed(rows: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_co
         for batch in batches:
             buckets, owner = features(batch.column(1).to_pylist(), hashes)
             n = np.bincount(owner, minlength=batch.num_rows)
-            total = np.bincount(owner, own[buckets], batch.num_rows)
+            total = np.bincount(owner, own[buckets], batch.num_rows).astype(np.float64)
             draw = (batch.column(2).to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(11)).astype(np.float64)
             noise = -np.log(-np.log((draw + 0.5) / 2.0**53))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(total + noise)], names=[id_col, "n_features", "log_weight", "key"])
