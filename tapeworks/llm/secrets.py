@@ -11,7 +11,8 @@ away.
 
 The CRF is fitted on ``SAMPLE_DOCS`` documents at most (of those that hold a
 digit, chosen by a hash of id and text): base spans in them are secrets, other candidates are
-not, and invented secrets of further shapes are planted into copies of their
+not (runs with an unmatched long mix of digits and letters are left out), and
+invented secrets of further shapes are planted into copies of their
 lines, so that it learns shapes that the patterns miss. Scanning is one pass
 without a shuffle.
 
@@ -132,6 +133,12 @@ def allowed(token: str) -> bool:
     return len(token) >= LONG or any(c in "0123456789" for c in token)
 
 
+def doubtful(token: str) -> bool:
+    """Long, of digits and letters both, and no address."""
+    core = token.strip(_EDGE)
+    return len(core) >= 16 and any(map(str.isdigit, core)) and any(map(str.isalpha, core)) and "@" not in core and "://" not in core
+
+
 def text_features(text: str) -> tuple[float, float]:
     n = max(1, len(text))
     return min(1.0, 20 * sum(map(text.count, "=:;{}")) / n), min(1.0, 40 * text.count("\n") / n)
@@ -173,6 +180,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> crf.Chain | None:
         about = text_features(text)
         for window in candidate_windows(text):
             tokens, y = [text[a:b] for a, b in window], []
+            if any(doubtful(text[a:b]) and not any(s < b and a < e for s, e in truth) for a, b in window):
+                continue  # may be a secret that no pattern knows
             for a, b in window:
                 hit = allowed(text[a:b]) and any(s < b and a < e for s, e in truth)
                 y.append(INSIDE if hit and y and y[-1] != OUTSIDE else BEGIN if hit else OUTSIDE)
