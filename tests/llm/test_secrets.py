@@ -1,0 +1,70 @@
+import hashlib
+import random
+import re
+import string
+
+from tapeworks.llm import secrets
+
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def base(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, t, re.ASCII) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+HEX = "0123456789abcdef" * 3
+EDGES = [None, "", "no secrets here", 'token = "abcdef"', "PassWord:hunter22 and api_key=k-1_2.3=", "apikey: short token=token:abcdef", f"x{HEX}y {HEX[:23]}", "AKIA" + "Z9" * 8, "AKIAAKIA" + "Q" * 16, "AKIA" + "Q" * 15, "ſecret=abcdefgh toKen=abcdefgh", f"é漢😀 secret='{HEX}'", "secret=aaaaaa" * 3, f"{HEX} " * 2_000]
+
+
+def test_base_spans(spark):
+    rng = random.Random(0)
+    noise = ["".join(rng.choice(["token", "=", " ", ":", '"', "abc123", HEX[:25], "AKIA", "QQQQ9999", "secret", "\n", "é", "x"]) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    texts = EDGES + EDGES[:5] + noise
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in secrets.scanned(df, None).collect()}
+    for i, t in enumerate(texts):
+        b = base(t)
+        joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in b)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(x[1] == k for x in b) for k in range(3)], t
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and got[i].spans == joined
+    assert secrets.scanned(df.limit(0), None).count() == 0
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(n))
+
+
+def test_model_finds_other_shapes_and_keeps_base_spans(spark, tmp_path):
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    rows = []
+    for i in range(400):
+        t = f"{prose(rng, 30)} {rng.choice(['call 555 0199', 'in 1987', f'item {i}', 'mail7@example.com', 'room 12b', '2669109448945250'])} {prose(rng, 20)}"
+        if i % 3 == 0:
+            t += f' token = "{"".join(rng.choices(HEX[:16], k=40))}" {prose(rng, 5)}'
+        rows.append((i, t))
+    planted = {1000 + i: "ghp_" + "".join(rng.choices(letters, k=36)) for i in range(40)}
+    rows += [(i, f"{prose(rng, 12)} key: {s} {prose(rng, 8)}") for i, s in planted.items()]
+    rows += [(2000, None), (None, "token=abcdef1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = dict(rows)
+    got = {r.doc_id: r.spans for r in secrets.op7_secret_scan(spark, str(tmp_path)).collect()}
+    found = {i: [texts[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in v.split(",") if x) if k == "model"] for i, v in got.items()}
+    assert sum(planted[i] in found[i] for i in planted) >= 36
+    assert sum(bool(found[i]) for i in range(400)) <= 8
+    for i, t in rows:
+        assert all(f"{secrets.KINDS[k]}:{s}:{e}" in got[i].split(",") for s, k, e in base(t))
+
+
+def test_nothing_to_learn_from(spark):
+    assert secrets.fit(spark.createDataFrame([(1, "plain words"), (2, None)], "doc_id long, text string")) is None
+
+
+def test_redaction():
+    assert secrets.redacted("ab token=abcdef cd", "assign:3:15") == "ab [SECRET] cd"
+    assert secrets.redacted("xxYYYYzz", "assign:2:5,hex:3:6") == "xx[SECRET]zz"
+    assert secrets.redacted("plain", "") == "plain"
