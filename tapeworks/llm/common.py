@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import shipped
+
 #: Rows per Arrow batch. Texts are long, so batches are short; Python workers
 #: then hold a few MB of text at a time whatever the partition size.
 BATCH_ROWS = 256
@@ -18,7 +22,7 @@ def session(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches for the Python operators of this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return shipped(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +56,14 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def texts(batch: pa.RecordBatch, i: int = 0) -> list:
-    return batch.column(i).to_pylist()
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of finished steps: Spark does so once
+    the driver has collected the garbage of their plans, which may be much later.
+    The second round takes what Python let go of in the first."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def pieces(rows: dict[str, pa.Array], size: int = 20_000) -> Iterator[pa.RecordBatch]:

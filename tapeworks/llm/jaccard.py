@@ -7,12 +7,13 @@ least ``PERCENT`` / 100; the result names each text's connected component.
    of copies take part once; each task passes a set on once.
 2. Candidates. If two sets link, at most 3/37 of their summed sizes (for 85 %) is
    in one but not in the other. A set's hashes are cut into more ranges than that
-   by value; so at least one range that is not empty holds the same hashes in
-   both. Each range gives a signature, and sets sharing one are joined into
-   candidate groups. Unlike single shingles, a whole range is hardly ever shared
-   by texts that only have a passage in common. The number of ranges depends on
-   the size class; a set near the lower end of its class also gives the ranges of
-   the class below.
+   by value, and each range that is not empty gives a signature of all its
+   hashes; so linked sets share signatures, at least as many as a set has beyond
+   that bound. The number of ranges depends on the size class; a set near the
+   lower end of its class also gives the ranges of the class below. As so many
+   signatures are shared, each set may leave out one less, and leaves out those
+   that most sets have (one order for all sets): they come from passages that many
+   texts hold. Sets sharing a signature that is left are joined to candidate groups.
 3. Prefix-tree join. The sets of a group, in one global order of shingles, form a
    prefix tree; all sets walk down together, carrying their overlaps with the
    path so far, so sets with a common beginning share that work, and leave a
@@ -41,7 +42,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,7 +53,7 @@ PERCENT = 85
 CHUNK_SETS = 512
 CHUNK_SHINGLES = 400_000
 #: Size classes of sets: up to SMALL, then each GROWTH times as large.
-SMALL, GROWTH, SMALL_RANGES = 36, 1.6, 64
+SMALL, GROWTH, SMALL_RANGES = 36, 1.4, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -84,7 +85,7 @@ def shingle_set(text: bytes | None, hashes: dict[bytes, int], size: int = SIZE)
     return np.unique(out)
 
 
-def most_apart(a: int, b: int, percent: int = PERCENT) -> int:
+def most_apart(a, b, percent: int = PERCENT):
     """Most shingles that linked sets of sizes a and b don't share."""
     return (a + b) * (100 - percent) // (100 + percent)
 
@@ -98,23 +99,25 @@ def size_class(n: int) -> int:
 
 def ranges_of(c: int, percent: int = PERCENT) -> int:
     """Ranges of a class: more than the most shingles that a set of it and a
-    linked one of this class or the next don't share, with empty ranges to spare."""
+    linked one of this class or the next don't share, and some to spare."""
     top = int(SMALL * GROWTH**c)
-    return max(SMALL_RANGES, int(1.13 * most_apart(top, top * 100 // percent, percent)) + 1)
+    return max(SMALL_RANGES if c == 0 else 0, int(1.25 * most_apart(top, top * 100 // percent, percent)) + 6)
 
 
-def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """One number for each non-empty range of the set, in its classes."""
+def signatures(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """A number for each non-empty range of the set, by class, and per class how
+    many there are and how many of them a linked set shares at least."""
     n = len(hashes)
     own = size_class(n)
-    below = size_class(-(-n * percent // 100))
-    out = []
-    for c in {own, below}:
+    out, cuts = [], []
+    for c in {own, size_class(-(-n * percent // 100))}:
         place = ((hashes >> np.uint64(32)) * np.uint64(ranges_of(c, percent))) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         total = np.add.reduceat(hashes, starts)
         out.append(mixed(total + (place[starts] + np.uint64(c << 40)) * _ODD[0]))
-    return np.concatenate(out).view(np.int64)
+        partner = n * 100 // percent if c == own else int(SMALL * GROWTH**c)
+        cuts += [len(starts), max(1, len(starts) - most_apart(n, partner, percent))]
+    return np.concatenate(out).view(np.int64), cuts
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -122,21 +125,23 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def _describe(size: int, percent: int):
-    """(id, key, text) to (id, key, n, set, signatures); the signatures of a set
-    are given once by a task."""
+    """(id, key, text) to (id, key, n, set, signatures, cuts); the signatures of a
+    set are given once by a task."""
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, signs, cuts = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, hashes, size)
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-                signs.append(signatures(s, percent) if len(s) and keys[-1] not in seen else None)
+                new = signatures(s, percent) if len(s) and keys[-1] not in seen else (None, None)
+                signs.append(new[0])
+                cuts.append(new[1])
                 seen.add(keys[-1])
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["id", "row_key", "n", "set_key", "signs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int32()))], names=["id", "row_key", "n", "set_key", "signs", "cuts"])
 
     return describe
 
@@ -256,8 +261,8 @@ _LOCAL = "set_key long, grp long, root long, radius long, longest long, hashes b
 
 
 def _join_parts(percent: int):
-    """Sets of many parts (group, chunk) to their component in the part; roots of
-    cut groups also carry their set, radius and longest member."""
+    """Sets of many parts (group, chunk) to their component in the part. Those of
+    cut groups keep their hashes; their roots carry radius and longest member."""
     def join(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("part", "ascending"), ("set_key", "ascending")]).to_pydict()
         out: list[tuple] = []
@@ -276,7 +281,7 @@ def _join_parts(percent: int):
                 longest = max(len(sets[i]) for i in own) if cut else None
                 for i in own:
                     lead = cut and i == pivot
-                    out.append((keys[i], rows["grp"][lo], keys[pivot], radius if lead else None, longest if lead else None, sets[i].tobytes() if lead else None))
+                    out.append((keys[i], rows["grp"][lo], keys[pivot], radius if lead else None, longest if lead else None, sets[i].tobytes() if cut else None))
         names = ["set_key", "grp", "root", "radius", "longest", "hashes"]
         kinds = [pa.int64()] * 5 + [pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -285,20 +290,17 @@ def _join_parts(percent: int):
 
 
 def _compare_pivots(percent: int):
-    """Pairs of pivots that link (open = false), or whose components may (true)."""
+    """Of one or two blocks of pivots: links (open = false), by the prefix tree,
+    and pairs whose components may still hold one (open = true)."""
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         sets = [np.frombuffer(b, np.uint64) for b in rows["hashes"]]
-        keys, radius, longest, block = (np.array(rows[c], np.int64) for c in ("root", "radius", "longest", "block"))
-        i, j = rows["i"][0], rows["j"][0]
-        found: list[tuple[int, int, bool]] = []
-        for at in np.flatnonzero(block == i):
-            far = apart(sets, int(at))
-            sizes = np.array([len(s) for s in sets])
-            other = (block == j) & ((keys > keys[at]) if i == j else True)
-            link = other & (far <= (sizes + sizes[at]) * (100 - percent) // (100 + percent))
-            maybe = other & ~link & (far - radius - radius[at] <= (longest + longest[at]) * (100 - percent) // (100 + percent))
-            found += [(int(keys[at]), int(keys[k]), False) for k in np.flatnonzero(link)]
+        keys, radius, longest = (np.array(rows[c], np.int64) for c in ("root", "radius", "longest"))
+        roots = Group(sets, percent).join()
+        found = [(int(keys[i]), int(keys[r]), False) for i, r in enumerate(roots) if i != r]
+        for at in np.flatnonzero(radius > 0):
+            reach = apart(sets, int(at)) - radius - radius[at]
+            maybe = (roots != roots[at]) & (reach <= most_apart(longest, longest[at], percent))
             found += [(int(keys[at]), int(keys[k]), True) for k in np.flatnonzero(maybe)]
         a, b, o = zip(*found) if found else ((), (), ())
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(o, pa.bool_())], names=["a", "b", "open"])
@@ -309,21 +311,35 @@ def _compare_pivots(percent: int):
 def linked(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
-    known = common.stored(base.mapInArrow(_describe(size, percent), "id long, row_key long, n long, set_key long, signs array<long>"))
-    labels = _labels(base, known, size, percent)
+    spark, path = base.sparkSession, common.shared_dir(base.sparkSession)
+    signed = common.stored(base.mapInArrow(_describe(size, percent), "id long, row_key long, n long, set_key long, signs array<long>, cuts array<int>"), path)
+    known = common.stored(signed.select("id", "row_key", "n", "set_key"))
+    edges = common.stored(_candidates(signed))
+    common.discard(spark, path)
+    common.release(spark)
+    labels = _labels(base, known, edges, size, percent)
     docs = known.select("id", "n", "set_key").join(labels.withColumnRenamed("root", "label"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = docs.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     return docs.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _labels(base: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+def _candidates(signed: DataFrame) -> DataFrame:
+    """(a, b): sets that share a signature, each with the first of them."""
+    rows = signed.where("signs is not null").select("set_key", "cuts", F.posexplode("signs").alias("at", "sign"))
+    below = F.col("at") >= F.col("cuts")[0]
+    # How many a set may leave out in its class; negative marks the class below.
+    rows = rows.select("set_key", "sign", F.when(below, 1 - F.col("cuts")[3]).otherwise(F.col("cuts")[1]).alias("spare"))
+    alike = Window.partitionBy("sign")
+    rows = rows.select("set_key", "sign", "spare", F.count("*").over(alike).alias("n"), F.min("set_key").over(alike).alias("first")).where("n > 1")
+    frequent = Window.partitionBy("set_key", "spare").orderBy(F.desc("n"), F.desc("sign"))
+    rank = F.row_number().over(frequent)
+    rows = rows.select("set_key", "first", "spare", rank.alias("rank")).where(F.col("rank") > F.when(F.col("spare") > 0, F.col("spare") - 1).otherwise(-F.col("spare")))
+    return rows.where("set_key != first").select(F.col("set_key").alias("a"), F.col("first").alias("b")).distinct()
+
+
+def _labels(base: DataFrame, known: DataFrame, edges: DataFrame, size: int, percent: int) -> DataFrame:
     """(set_key, root) of the sets that link with another."""
-    spark = base.sparkSession
-    signs = known.where("signs is not null").select("set_key", F.explode("signs").alias("sign"))
-    first = F.first("set_key").over(Window.partitionBy("sign").orderBy("set_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = signs.select(F.col("set_key").alias("a"), first.alias("b")).where("a != b").distinct()
     groups = common.stored(components(edges))
-
     nodes = (known.where("set_key is not null").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"))
         .join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("grp")), "set_key"))
     nodes = common.stored(nodes)
@@ -336,7 +352,7 @@ def _labels(base: DataFrame, known: DataFrame, size: int, percent: int) -> DataF
         return own
 
     # Components of cut groups, from those of their chunks.
-    pivots = local.where("hashes is not null")
+    pivots = local.where("hashes is not null and set_key = root")
     blocks = pivots.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("blocks"))
     pivots = pivots.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pivots = pivots.select("grp", "root", "radius", "longest", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -348,20 +364,33 @@ def _labels(base: DataFrame, known: DataFrame, size: int, percent: int) -> DataF
         .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").distinct())
     if still.isEmpty():
         return joined.select(F.col("node").alias("set_key"), "root")
-    pairs = still.select(F.xxhash64("a", "b").alias("part"), F.explode(F.array("a", "b")).alias("root"))
-    whole = pairs.join(own, "root").join(nodes.select("set_key", "row_key", "n", "grp"), "set_key").select("row_key", "set_key", "n", "grp", F.lit(1).cast("long").alias("pieces"), "part")
-    more = common.stored(_with_sets(whole, base, size).groupBy("bin").applyInArrow(_join_parts(percent), _LOCAL))
+    # The larger component of an open pair meets all its partners, in blocks.
+    members = own.groupBy("root").agg(F.count("*").alias("m"))
+    side = lambda c: members.select(F.col("root").alias(c), F.col("m").alias(f"{c}_m"))
+    larger = F.struct(F.col("a_m").alias("m"), F.col("a").alias("k")) >= F.struct(F.col("b_m").alias("m"), F.col("b").alias("k"))
+    still = still.join(side("a"), "a").join(side("b"), "b").select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("root"))
+    partners = common.stored(still.join(own, "root").select("x", "set_key"))
+    blocks = partners.groupBy("x").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("blocks"))
+    place = lambda block: F.xxhash64("x", block).alias("part")
+    theirs = partners.join(blocks, "x").select("set_key", place(F.pmod(F.xxhash64("set_key"), F.col("blocks"))))
+    ours = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(own.withColumnRenamed("root", "x"), "x").select("set_key", place(F.col("block")))
+    kept = local.where("hashes is not null").select("set_key", "grp", "hashes")
+    whole = theirs.union(ours).join(kept, "set_key").select("set_key", "grp", "part", F.lit(1).cast("long").alias("pieces"), _bin(partners.count(), 0), "hashes")
+    more = common.stored(whole.groupBy("bin").applyInArrow(_join_parts(percent), _LOCAL))
     edges = edges.union(more.select("set_key", "root"))
     return components(edges).select(F.col("node").alias("set_key"), "root")
 
 
+def _bin(sets: int, shingles: int) -> Column:
+    return F.pmod(F.xxhash64("part"), F.lit(max(1, -(-sets // 400), -(-shingles // 300_000)))).alias("bin")
+
+
 def _with_sets(nodes: DataFrame, base: DataFrame, size: int) -> DataFrame:
     """Nodes (row_key, set_key, n, grp, pieces, part) with their sets, and a bin
     that holds whole parts of some thousand shingles together."""
     count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = max(1, -(-count // 400), -(-total // 300_000))
-    nodes = nodes.select("row_key", "set_key", "grp", "part", "pieces", F.pmod(F.xxhash64("part"), F.lit(bins)).alias("bin"))
-    texts = nodes.join(base.select("row_key", "text"), "row_key").select("set_key", "grp", "part", "pieces", "bin", "text")
+    nodes = nodes.select("row_key", "set_key", "grp", "part", "pieces", _bin(count, total))
+    texts = nodes.join(base.select("row_key", "text").hint("merge"), "row_key").select("set_key", "grp", "part", "pieces", "bin", "text")
     return texts.mapInArrow(_sets(size), "set_key long, grp long, part long, pieces long, bin long, hashes binary")
 
 
