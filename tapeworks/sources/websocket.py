@@ -60,7 +60,7 @@ def messages(url: str, subscribe: str = "", timeout: float = 30) -> Iterator[str
         while True:
             try:
                 first, second = _exactly(sock, 2)
-            except EOFError:
+            except (EOFError, ConnectionResetError):
                 return
             n = second & 0x7F
             n = struct.unpack(">H", _exactly(sock, 2))[0] if n == 126 else struct.unpack(">Q", _exactly(sock, 8))[0] if n == 127 else n

@@ -196,6 +196,8 @@ def _serve(sent, got):
                 size = bytes([len(data)]) if len(data) < 126 else b"\x7e" + len(data).to_bytes(2, "big")
                 client.sendall(b"\x81" + size + data)
             client.sendall(b"\x88\x00")
+            while client.recv(64):  # the answer to the ping, then the end
+                pass
 
     threading.Thread(target=run, daemon=True).start()
     return f"ws://127.0.0.1:{server.getsockname()[1]}/feed"
