@@ -5,8 +5,9 @@ before kept; all but the last return the columns of ``docs``, whatever these are
 
 * language: documents without a language (no letter) go; a null ``lang`` gets the
   predicted one;
-* near_duplicates: of each class of linked documents the one with the smallest
-  doc_id stays (null ids last);
+* near_duplicates: of each class of linked documents (word shingles of five, a
+  Jaccard similarity of 0.8 or more) the one with the smallest doc_id stays (null
+  ids last);
 * decontaminate: documents contaminated with benchmark passages go;
 * secrets: secrets in texts are masked, ``n_chars`` follows; no document goes;
 * pack: documents become pieces of training sequences.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from tapeworks.llm import common, contamination, jaccard, language, packing, secrets, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Near duplicates: words of a shingle, and the least similarity in percent.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.session(spark)
     numbered = _wrapped(docs).withColumn("row", F.monotonically_increasing_id())
-    classes = jaccard.linked(numbered.select("row", "text"), id_col="row").select("row", "component_id")
+    classes = jaccard.linked(numbered.select("row", "text"), id_col="row", size=NEAR_SIZE, percent=NEAR_PERCENT).select("row", "component_id")
     doc_id = F.col("kept.doc_id")
     order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("row"))
     chosen = numbered.select("row", order.alias("order")).join(classes, "row").groupBy("component_id").agg(F.min("order").alias("best")).select(F.col("best.row").alias("row"))

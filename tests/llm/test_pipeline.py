@@ -35,6 +35,21 @@ def test_stages(spark, tmp_path):
     assert "[SECRET]" in masked.text and "abcdef123456" not in masked.text and masked.n_chars == len(masked.text) and masked.score == "x"
 
 
+def test_near_duplicates_between_the_thresholds(spark, tmp_path):
+    """Near copies by five words and 0.8 that four words and 0.85 would leave."""
+    words = [f"w{i}" for i in range(50)]
+    changed = [*words[:25], "other", *words[26:]]  # 41 of 51 shingles of five, 43 of 51 of four
+    longer = [f"v{i}" for i in range(100)]
+    appended = longer + [f"x{i}" for i in range(20)]  # 96 of 116, 97 of 117
+    apart = [f"u{i}" for i in range(50)]
+    two = [*apart[:15], "other", *apart[16:35], "another", *apart[36:]]  # 36 of 56: no near copy
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate([words, changed, longer, appended, apart, two])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "docs"))
+    left = pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 4, 5]
+
+
 def test_empty_table(spark, tmp_path):
     docs = small(spark, tmp_path).limit(0)
     for name, stage in pipeline.STAGES:
