@@ -33,6 +33,8 @@ MIN_SHARE = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+#: Words of a block, over which a line's variety is taken.
+BLOCK = 400
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 CONTENT, BOILERPLATE = 0, 1
@@ -98,15 +100,18 @@ def worded_lines(text: bytes) -> list[bytes]:
     return [line for line in text.split(b"\n") if not line.isspace() and line]
 
 
-def spread(words_in: list[bytes]) -> float:
-    """Distinct words over words: low in lines that repeat one word."""
-    return len(set(words_in)) / max(1, len(words_in))
+def spread(words_in: list[bytes], block: int = BLOCK) -> float:
+    """Distinct words over words, low in lines that repeat one word: the mean over
+    all consecutive blocks of a line, weighted by their words, as the plain ratio
+    falls with a line's length."""
+    distinct = sum(len(set(words_in[at : at + block])) for at in range(0, len(words_in), block))
+    return distinct / max(1, len(words_in))
 
 
 def features(lines: list[bytes]) -> np.ndarray:
     if not lines:
         return np.zeros((0, 19))
-    variety = [spread(line.split()[:400]) for line in lines]
+    variety = [spread(line.split()) for line in lines]
     v = np.array(variety)
     return np.column_stack([line_features(lines), v, v < 0.3])
 

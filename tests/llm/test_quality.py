@@ -90,3 +90,12 @@ def test_gradient_is_observed_minus_expected():
             up = likelihood(crf.Chain(**parts))
             parts[name][at] -= 2e-5
             assert abs((up - likelihood(crf.Chain(**parts))) / 2e-5 - grad[at]) < 1e-4
+
+
+def test_variety_is_of_the_whole_line():
+    varied, poor = [b"w%d" % i for i in range(400)], [b"p%d" % (i * i % 7) for i in range(4_000)]
+    low = quality.features([b" ".join(varied + poor)])[0, -2:]
+    high = quality.features([b" ".join(poor[:400] + [b"v%d" % i for i in range(4_000)])])[0, -2:]
+    assert low[0] < 0.3 and low[1] == 1 and high[0] > 0.8 and high[1] == 0
+    assert quality.spread(varied) == 1 and quality.spread(varied * 5) == 1 and quality.spread([]) == 0
+    assert quality.spread([b"a", b"b", b"a"]) == 2 / 3 and quality.spread(varied + [b"a"] * 100) == 401 / 500
