@@ -81,3 +81,39 @@ def test_powers_of_two():
     out = packing.in_powers([(0, 5, 700), (1, 0, 301)])
     assert [sum(s for _, _, s in w) for w in out] == [512, 256, 128, 64, 32, 8, 1]
     assert [p for w in out for p in w if p[0] == 0] == [(0, 5, 512), (0, 517, 188)]
+
+
+def test_related_documents_share_windows_at_every_size(spark):
+    """Documents on a subject meet though the table holds many shards of others."""
+    rng, rows = random.Random(4), []
+    vocabulary = [[f"{a}{b}{s}" for a in ("lo", "ta", "mi") for b in ("x", "na", "er", "q")] for s in range(40)]
+    for i in range(1_200):  # 40 subjects, one after another in the table's order
+        rows.append((i, " ".join(rng.choices(vocabulary[i % 40], k=60))))
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), FILE, shard_docs=60).collect()
+    windows = defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append(r.doc_id % 40)
+    mixed = [len(w) > 1 and w.count(max(set(w), key=w.count)) / len(w) for w in windows.values() if len(w) > 1]
+    assert np.mean(mixed) >= 0.8
+
+
+def test_statistics_and_query_are_whole():
+    docs = [np.arange(i, i + 40).astype("<u2") for i in range(0, 100, 2)]
+    stats = packing.Statistics.of(docs)
+    index = packing.Index(docs, stats)
+    assert max(map(len, index.query)) > 16 and np.isclose(stats.mean, 40)
+    rare = np.zeros(packing.TERMS, np.int64)
+    rare[:200] = 3  # in the whole table; in this shard more than half hold some
+    same = [np.array([1, 2, 3, 100 + i], "<u2") for i in range(9)]
+    assert set(packing.Index(same, packing.Statistics(rare, 10_000, 4.0)).query[0]) == {1, 2, 3}
+
+
+def test_tree_keeps_neighbours_and_splits_copies(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, packing.WIDTH))
+    points = (np.repeat(centres, 100, 0) + rng.normal(0, 0.01, (800, packing.WIDTH))).astype(np.float32)
+    leaves = packing.Tree(points, 8).leaves(points).reshape(8, 100)
+    assert len(np.unique(leaves)) == 8 and all(len(np.unique(x)) <= 2 for x in leaves)
+    assert len(np.unique(packing.Tree(points[:1].repeat(50, 0), 8).leaves(points))) == 1
+    copies = packing.packed(spark.createDataFrame([(i, "the same words") for i in range(500)], "doc_id long, text string"), FILE, shard_docs=10).collect()
+    assert sorted(r.doc_id for r in copies if r.start == 0) == list(range(500)) and len({r.sequence_id for r in copies}) >= 25
