@@ -42,14 +42,31 @@ def test_forgetting_does_not_change_counts(library, monkeypatch):
 def test_composition_is_associative():
     machine = tokens.Transducer(FILE)
     text = "▁one▁two\nthree▁▁four" * 4
-    maps = [machine.chunk_map(text[i : i + 7]) for i in range(0, len(text), 7)]
+    maps = [machine.chunk(text[i : i + 7]) for i in range(0, len(text), 7)]
     left = maps[0]
     for m in maps[1:]:
         left = machine.compose(left, m)
     right = maps[-1]
     for m in reversed(maps[:-1]):
         right = machine.compose(m, right)
-    assert left == right
+    assert left == right == machine.scan(maps)
+
+
+def test_long_texts_are_scanned_over_tasks(spark, library):
+    rng = random.Random(5)
+    texts = [None, "", "short", "x" * 400, "a b\n" * 300, *("".join(rng.choice("the ing  er\n▁é漢") for _ in range(rng.randint(0, 900))) for _ in range(30))]
+    rows = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts)] * 2, "row long, text string, kept long")
+    got = sorted(map(tuple, tokens.counted(rows, FILE, chunk=20).collect()), key=str)
+    assert got == sorted([(i, t, i * 2, len(library.encode(t or ""))) for i, t in enumerate(texts)] * 2, key=str)
+
+
+def test_bounds_hold_inside_a_text(library, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_STEPS", 100)
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 20)
+    machine, rng = tokens.Transducer(FILE), random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400))
+    assert machine.count(text) == machine.count(text, 64) == len(library.encode(text))
+    assert len(machine.steps) <= 101 and len(machine.after_space) <= 20
 
 
 def test_query(spark, tmp_path, library):
