@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shipped
@@ -18,10 +19,17 @@ from ..session import shipped
 BATCH_ROWS = 256
 
 
+#: A key with more than this share of a table's rows is hot; there are at most
+#: 1 / HOT such keys in any table, so they may be broadcast.
+HOT = 1e-4
+
+
 def session(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches for the Python operators of this session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches for the Python operators of this session, and let the
+    shuffle files of a step go when the step has ended."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return shipped(spark)
 
 
@@ -33,12 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor sees.
 
     Where the setting is absent (tests, a laptop) the session gets a folder of
-    its own below the warehouse.
+    its own below the warehouse; a master that is not local is refused then, as
+    its executors would not see it. What is left when the driver ends goes.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{base.rstrip('/')}/tapeworks/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/tapeworks/{spark.sparkContext.applicationId}"
+    if own not in _LEFT:
+        _LEFT.add(own)
+        atexit.register(_leave, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+_LEFT: set[str] = set()
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone before
+        discard(spark, path)
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -56,14 +79,20 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let executors delete the shuffle files of finished steps: Spark does so once
-    the driver has collected the garbage of their plans, which may be much later.
-    The second round takes what Python let go of in the first."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right``, whose keys are unique; null where it
+    has none. A key may hold any share of ``left``: hot ones (see ``HOT``) get
+    their row by broadcast, the others by a shuffle in which none is large. Both
+    sides must be stored tables; a null key finds nothing."""
+    total = left.count()
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > F.lit(total * HOT)).where(F.col(key).isNotNull()).select(key)
+    hot = stored(right.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True)))
+    extra = [c for c in right.columns if c != key]
+    some = left.join(F.broadcast(hot.select(key, "__hot")), key, "left")
+    # Rows without a key would meet in one task, so they take the first way as well.
+    first = some.where(F.col("__hot") | F.col(key).isNull()).drop("__hot").join(F.broadcast(hot.drop("__hot")), key, "left")
+    rest = some.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot").join(right, key, "left")
+    return first.select(*left.columns, *extra).unionByName(rest.select(*left.columns, *extra))
 
 
 def pieces(rows: dict[str, pa.Array], size: int = 20_000) -> Iterator[pa.RecordBatch]:

@@ -316,7 +316,6 @@ def linked(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     known = common.stored(signed.select("id", "row_key", "n", "set_key"))
     edges = common.stored(_candidates(signed))
     common.discard(spark, path)
-    common.release(spark)
     labels = _labels(base, known, edges, size, percent)
     docs = known.select("id", "n", "set_key").join(labels.withColumnRenamed("root", "label"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = docs.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
