@@ -62,3 +62,38 @@ def test_corrupt_payload_raises(spark):
     spark.createDataFrame([(r.key, bytearray(b"zz")) for r in good], "key string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="corrupt payload"):
         warc.restore(spark, path).collect()
+
+
+def test_urls_cannot_add_header_lines(spark, tmp_path):
+    evil = "WARC-Refers-To: <urn:row:99>", "WARC-Payload-Digest: sha1:EVIL", "WARC-Type: revisit"
+    rows = [(i, f"http://h/{c}{e}{c}", f"body {i}") for i, (c, e) in enumerate((c, e) for c in ("\u2028", "\u2029", "\u0085", "\r\n", "\n", "\x0b", "\x0c", "\x1e", "\x7f", "\r\n\r\n") for e in evil)]
+    got = pages(spark, tmp_path, rows)
+    assert got == {(i, len(t), digest(t.encode()), "response", None) for i, _, t in rows}
+
+
+def test_encoded_urls_keep_the_rest(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a\u2028\U0001f600é%20\n",), ("plain é",), (None,), ("",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "u string").select(warc.one_line(F.col("u"))).collect()]
+    assert got == ["a%E2%80%A8\U0001f600é%20%0A", "plain é", None, ""]
+
+
+def test_hot_payloads_are_spread(spark):
+    rows = [(i, "u", "" if i % 3 == 0 else f"p{i % 50}") for i in range(300)]
+    path = common.shared_dir(spark)
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html", path, fan_rows=10)
+    assert spark.read.parquet(f"{path}/headers").where("key = sha2('', 256)").select("copy").distinct().count() > 5
+    got = {r.id: r for r in warc.parsed(warc.restore(spark, path)).collect()}
+    assert len(got) == 300
+    for i, _, t in rows:
+        last = max(j for j, _, u in rows if u == t)
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].refers_to) == (len(t), digest(t.encode()), None if i == last else last)
+
+
+def test_a_corrupt_archive_is_an_error(spark):
+    path = common.shared_dir(spark)
+    warc.archive(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), "page_id", "url", "html", path)
+    changed = warc.restore(spark, path).withColumn("record", warc.F.expr("cast(replace(cast(record AS string), 'body', 'evil') AS binary)"))
+    with pytest.raises(Exception, match="wrong digest"):
+        warc.parsed(changed).collect()
