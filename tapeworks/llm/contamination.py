@@ -20,12 +20,15 @@ Defined results
   items have no window; items with equal text both count, rows with equal item_id are
   one item; a null item_id is the empty string;
 * repeated rows and null document ids are judged each; empty tables: no rows,
-  or no hits.
+  or no hits; texts of any length are searched whole; input columns with the
+  names of the results give way to them, other extra columns pass as they are,
+  whatever their names and however many blocks there are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -147,11 +150,10 @@ def judged(rows: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
     first, second = next(blocks, []), next(blocks, None)
 
     if second is None:
-        shared = spark.sparkContext.broadcast(first)
+        shared, name = spark.sparkContext.broadcast(first), uuid.uuid4().hex
 
         def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = [i for i, _ in shared.value]
-            matcher = Matcher(enumerate(t for _, t in shared.value), window)
+            ids, matcher = _matcher(name, shared, window)
             for batch in batches:
                 out = []
                 for text in batch.column(place).to_pylist():
@@ -162,28 +164,44 @@ def judged(rows: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
 
         return rows.mapInArrow(judge, schema)
 
-    # Many blocks: rows get a number once, so that blocks can be added up by row.
-    numbered = common.stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-    parts = None
+    # Many blocks: rows get a number once, so that blocks can be added up by row;
+    # the input's own columns stay in a struct, out of the way of its name.
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    numbered = common.stored(rows.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("own")))
+    texts, parts = numbered.select("row", F.col(f"own.`{text_col}`").alias("text")), None
     for block in (b for bs in ([first, second], blocks) for b in bs):
-        part = common.stored(numbered.select("_row", F.col(text_col).alias("text")).mapInArrow(_partial(spark.sparkContext.broadcast(block), window), "_row long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"))
+        part = common.stored(texts.mapInArrow(_partial(spark.sparkContext.broadcast(block), window), "row long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"))
         parts = part if parts is None else parts.unionByName(part)
-    added = parts.groupBy("_row").agg(F.max("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    added = parts.groupBy("row").agg(F.max("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, n, spans, ids = (c.to_pylist() for c in batch.columns)
             out = [_verdict(n[i], sum(e - s for s, e in merged((x["s"], x["e"]) for x in spans[i])), ids[i]) for i in range(len(row))]
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *_columns(out)], names=["_row", *JUDGED])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *_columns(out)], names=["row", *JUDGED])
 
-    kinds = ", ".join(f"{k} {v}" for k, v in {"_row": "long", **JUDGED}.items())
-    return numbered.join(added.mapInArrow(add, kinds), "_row").select(*schema.names)
+    kinds = ", ".join(f"{k} {v}" for k, v in {"row": "long", **JUDGED}.items())
+    joined = numbered.join(added.mapInArrow(add, kinds), "row")
+    return joined.select(*(F.col(f"own.`{c}`").alias(c) for c in rows.columns), *JUDGED)
+
+
+_MATCHERS: dict[str, tuple[list[str], Matcher]] = {}
+
+
+def _matcher(name: str, shared, window: int) -> tuple[list[str], Matcher]:
+    """Ids and tables of the block of that name, built once by a worker; it holds
+    one block's."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = [i for i, _ in shared.value], Matcher(enumerate(t for _, t in shared.value), window)
+    return _MATCHERS[name]
 
 
 def _partial(shared, window: int):
+    name = uuid.uuid4().hex
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [i for i, _ in shared.value]
-        matcher = Matcher(enumerate(t for _, t in shared.value), window)
+        ids, matcher = _matcher(name, shared, window)
         for batch in batches:
             sizes, spans, items = [], [], []
             for text in batch.column(1).to_pylist():
@@ -192,7 +210,7 @@ def _partial(shared, window: int):
                 sizes.append(len(w))
                 spans.append([{"s": a, "e": b} for a, b in s])
                 items.append([ids[i] for i in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["_row", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
 
     return search
 

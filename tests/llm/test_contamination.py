@@ -67,3 +67,15 @@ def test_windows_overlap_and_repeat():
     assert m.hits([b"a", b"b", b"c", b"d", b"a", b"b"]) == ([(0, 6)], {0, 1})
     again = contamination.Matcher([(0, " ".join("xy" * 8))])
     assert again.hits([b"x", b"y"] * 9) == ([(0, 18)], {0})
+
+
+@pytest.mark.parametrize("block_bytes", [contamination.BLOCK_BYTES, 100])
+def test_clashing_columns_pass(spark, block_bytes):
+    names = ["row", "_row", "own", "n", "spans", "items", "S"]
+    rows = [(i, "w1 w2 w3" if i % 2 else None, *(f"{c}{i}" for c in names)) for i in range(6)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    b = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(9)], "item_id long, text string")
+    got = contamination.judged(d, b, block_bytes=block_bytes)
+    assert got.columns == ["doc_id", "text", *names, *contamination.JUDGED]
+    assert sorted(tuple(r)[:9] for r in got.collect()) == sorted(rows, key=lambda r: r[0])
+    assert {(r.doc_id, r.n_hit) for r in got.collect()} == {(i, 3 if i % 2 else 0) for i in range(6)}
