@@ -114,8 +114,12 @@ def kth_largest(rows: DataFrame, col: str, k: int) -> float:
     above = 0  # values over ``high``
     while low < high:
         width = (high - low) / BINS
-        if width == 0 or low + width == low:
-            break
+        if low + width == low:  # fewer floats than bins: count each
+            each = rows.where(F.col(col).between(low, high)).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
+            for v, n in sorted(each.collect(), reverse=True):
+                above += n
+                if above >= k:
+                    return v
         inside = rows.where(F.col(col).between(low, high))
         place = F.least(F.lit(BINS - 1), F.floor((F.col(col) - F.lit(low)) / F.lit(width)))
         bins = sorted(inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect(), reverse=True)

@@ -48,3 +48,39 @@ def test_noise_is_gumbel(spark):
     docs = spark.createDataFrame([(i, "x") for i in range(4_000)], "doc_id long, text string")
     keys = np.array([r.key for r in importance.weighed(docs, np.zeros(importance.BUCKETS)).collect()])
     assert abs(keys.mean() - 0.5772) < 0.08 and abs(keys.std() - 1.2825) < 0.08
+
+
+def test_kth_among_fewer_floats_than_bins(spark):
+    import math
+
+    v, values = 1.0, []
+    for i in range(300):
+        values += [v] * (1 + i % 3)
+        v = math.nextafter(v, 2)
+    df, ordered = spark.createDataFrame([(x,) for x in values], "v double"), sorted(values, reverse=True)
+    for k in (1, 2, 77, 301, len(values) - 1):
+        assert importance.kth_largest(df, "v", k) == ordered[k - 1]
+
+
+def test_weights_by_brute_force(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(["Mill", "oat", "rye", "é", "x1"], k=rng.randint(0, 12))), rng.random() < 0.4) for i in range(80)] + [(80, None, True)]
+
+    def buckets(t):
+        h = [zlib.crc32(w) for w in (t or "").encode().lower().split()]
+        mask = 2**64 - 1
+        return [((a * 0x9E3779B97F4A7C15) & mask) >> 40 for a in h] + [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & mask) >> 40 for a, b in zip(h, h[1:])]
+
+    raw = Counter(b % importance.BUCKETS for _, t, _ in docs for b in buckets(t))
+    good = Counter(b % importance.BUCKETS for _, t, g in docs if g for b in buckets(t))
+    share = lambda c, b: (c[b] + 0.5) / (sum(c.values()) + 0.5 * importance.BUCKETS)
+    df = spark.createDataFrame(docs, "doc_id long, text string, good boolean")
+    got = {r.doc_id: r for r in importance.weighed(df, importance.learn(df)).collect()}
+    for i, t, _ in docs:
+        own = [b % importance.BUCKETS for b in buckets(t)]
+        want = sum(math.log(share(good, b) / share(raw, b)) for b in own)
+        assert got[i].n_features == len(own) and abs(got[i].log_weight - want) < 1e-9
