@@ -103,8 +103,19 @@ def crc(ids: np.ndarray) -> int:
 #: A piece of a document: where it lies in the document and in its sequence.
 PIECE = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}
 _TYPES = [pa.int64()] * 7
-#: Sequence ids: those of full windows are even, those of shards odd.
-_PART = 1 << 40
+#: Sequence ids: those of full windows are even, those of shards odd. A partition
+#: has room for 2^36 windows (2^26 partitions), a shard for 2^16 sequences (2^46
+#: shards): a shard has at most twice SHARD_DOCS remainders of under a window each,
+#: and a few more sequences from its last one.
+_WINDOWS, _SEQUENCES = 1 << 36, 1 << 16
+
+
+def window_id(part: int, k: int) -> int:
+    return 2 * (part * _WINDOWS + k)
+
+
+def shard_sequence_id(shard: int, k: int) -> int:
+    return 2 * (shard * _SEQUENCES + k) + 1
 
 
 def _cut(file: str, length: int, end_id: int):
@@ -122,7 +133,7 @@ def _cut(file: str, length: int, end_id: int):
                 ids = np.append(enc.ids(text or ""), np.uint16(end_id))
                 n = len(ids)
                 for at in range(0, n - n % length, length):
-                    rows.append((doc, at, length, crc(ids[at : at + length]), n, 2 * (part * _PART // 2 + sequence), 0))
+                    rows.append((doc, at, length, crc(ids[at : at + length]), n, window_id(part, sequence), 0))
                     rest.append(None)
                     df[np.unique(ids[at : at + length])] += 1
                     sequence += 1
@@ -323,7 +334,7 @@ def _pack(stats: Statistics, length: int):
         for k, window in enumerate(pack_shard(docs, length, stats)):
             offset = 0
             for doc, start, size in window:
-                rows.append((names[doc], base[doc] + start, size, crc(docs[doc][start : start + size]), tokens[doc], 2 * (shard * (_PART // 2) + k) + 1, offset))
+                rows.append((names[doc], base[doc] + start, size, crc(docs[doc][start : start + size]), tokens[doc], shard_sequence_id(shard, k), offset))
                 offset += size
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=list(PIECE))
 
