@@ -2,25 +2,30 @@
 
 Three patterns give the base spans. Beside them a linear-chain CRF tags tokens
 as begin, inside or outside of a secret from their shape (digits, case changes,
-length, character variety, prefixes), the neighbouring words and features of the
-whole text; Viterbi decoding gives its spans. Only a token that holds a digit or
-has ``LONG`` characters or more may be begin or inside, so a text's sequences are
-the runs of such tokens, each with the ``CONTEXT`` tokens before it; everything
-else is outside. The method adds spans that overlap no base span; it takes none
-away.
-
-The CRF is fitted on ``SAMPLE_DOCS`` documents at most (of those that hold a
-digit, chosen by a hash of id and text): base spans in them are secrets, other candidates are
-not (runs with an unmatched long mix of digits and letters are left out), and
-invented secrets of further shapes are planted into copies of their
-lines, so that it learns shapes that the patterns miss. Scanning is one pass
-without a shuffle.
+length, character variety, prefixes), the words on both sides and features of the
+whole text; Viterbi decoding gives its spans. It runs on windows: tokens with a
+hint (a digit, ``LONG`` characters, a capital after a small letter, a key word, a
+sign at the end) and the ``CONTEXT`` tokens on either side of them. Every token of a
+window may be tagged, a plain word as well; the rest of a text is outside. The
+method adds spans and takes none away: tokens that touch a base span are left to
+it, and what else a tagged run holds stays a span, before or after it.
+
+The CRF is fitted on ``SAMPLE_DOCS`` documents at most, those with the smallest
+hash of id and text among the ones that hold a digit and up to ``SAMPLE_CHARS``
+characters. The secrets of base spans in them are positive (of an assignment, its
+value), other tokens are not (windows with an unmatched long mix of digits and
+letters are left out), and invented secrets of further shapes, some of letters
+alone, some side by side, are planted into copies of their lines, so that it learns
+shapes that the patterns miss. Scanning is one pass without a shuffle.
 
 Defined results
-* null text: as empty, no spans; null ids pass; repeated rows are scanned each;
+* null text: as empty, no spans; null ids pass; repeated rows are scanned each, and
+  count once for fitting; texts of any length are scanned whole;
 * no document to learn from: base spans only; empty table: no rows;
+* equal scores in decoding go to outside, then begin;
 * positions are code points, the end exclusive; spans are ordered by start, then
-  kind in the order assign, access, hex, model.
+  kind in the order assign, access, hex, model;
+* input columns with the names of the results give way to them, others pass.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 from . import common, crf
 
 #: Bound on the documents that the CRF is fitted on.
-SAMPLE_DOCS = 600
+SAMPLE_DOCS, SAMPLE_CHARS = 600, 200_000
 LONG = 24
 CONTEXT = 2
 KINDS = ("assign", "access", "hex", "model")
@@ -51,7 +57,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "pwd", "private")
 PREFIXES = ("AKIA", "ghp_", "gho_", "sk_", "sk-", "pk_", "xox", "eyJ", "AIza", "glpat-")
 
-_HINT = re.compile(r"[0-9]|\S{%d}" % LONG)
+_HINTS = [re.compile(r"[0-9]+"), re.compile(r"\S{%d,}" % LONG), re.compile(r"[a-z][A-Z]"), re.compile(r"[=:](?!\S)")]
+_WORDS = re.compile("|".join(KEY_WORDS))
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`()[]{}<>,;!?&%$#*|"
 
@@ -68,33 +75,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _hinted(text: str) -> list[tuple[int, int]]:
+    """Spans of the tokens that hold a hint, in order."""
+    low = text.lower()
+    found = [m.start() for hint in _HINTS for m in hint.finditer(text)]
+    # Lower case of a few letters is longer; then places may be off, and all go.
+    if any(k in low for k in KEY_WORDS):
+        found += [m.start() for m in _WORDS.finditer(low)] if len(low) == len(text) else [m.start() for m in _TOKEN.finditer(text)]
+    out, at = [], 0
+    for start in sorted(found):
+        if start >= at:
+            while start > 0 and not text[start - 1].isspace():
+                start -= 1
+            at = _TOKEN.match(text, start).end()
+            out.append((start, at))
+    return out
+
+
+def _before(text: str, at: int) -> list[tuple[int, int]]:
+    """The last CONTEXT tokens that end before ``at``."""
+    out: list[tuple[int, int]] = []
+    while at > 0 and len(out) < CONTEXT:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        if end > at:
+            out.append((at, end))
+    return out[::-1]
+
+
 def candidate_windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of token spans: candidates with CONTEXT tokens on either side."""
-    spans, out, at = [], [], 0
-    for m in _HINT.finditer(text):
-        if m.start() < at:
-            continue
-        start = m.start()
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        at = _TOKEN.match(text, start).end()
-        spans.append((start, at))
-    for span in spans:
-        before, p = [], span[0]
-        while p > 0 and len(before) < CONTEXT:
-            while p > 0 and text[p - 1].isspace():
-                p -= 1
-            e = p
-            while p > 0 and not text[p - 1].isspace():
-                p -= 1
-            if e > p:
-                before.append((p, e))
-        if out and before and out[-1][-1][0] >= before[-1][0]:
-            out[-1] += [s for s in reversed(before) if s[0] > out[-1][-1][0]]
-            if out[-1][-1] != span:
-                out[-1].append(span)
+    """Runs of token spans: hinted tokens with CONTEXT tokens on either side."""
+    out: list[list[tuple[int, int]]] = []
+    for start, end in _hinted(text):
+        around = [*_before(text, start), (start, end)]
+        at = end
+        for _ in range(CONTEXT):
+            if m := _TOKEN.search(text, at):
+                around.append(m.span())
+                at = m.end()
+        if out and out[-1][-1][0] >= around[0][0]:
+            out[-1] += [s for s in around if s[0] > out[-1][-1][0]]
         else:
-            out.append([*reversed(before), span])
+            out.append(around)
     return out
 
 
@@ -106,7 +131,7 @@ def _shape(token: str) -> list[float]:
     upper = sum("A" <= c <= "Z" for c in core)
     hexes = sum(c in "0123456789abcdef" for c in core)
     turns = sum((a.isdigit() != b.isdigit()) for a, b in zip(core, core[1:]))
-    entropy = -sum(k / n * math.log2(k / n) for k in (core.count(c) for c in set(core)))
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(core).values())
     mixed = (digits > 0) + (lower > 0) + (upper > 0)
     return [
         1.0, min(n, 64) / 16, n >= 16, n >= 24, n >= 32, digits / n, digits == len(core) and digits > 0, lower / n, upper / n,
@@ -125,11 +150,15 @@ def window_features(tokens: list[str], dense: float, lines: float) -> np.ndarray
     keyed = np.array([any(k in w for k in KEY_WORDS) for w in low], np.float64)
     signs = np.array([w.strip("\"'").endswith(("=", ":")) for w in low], np.float64)
     lag = lambda x, k: np.concatenate([np.zeros(min(k, len(x))), x[: max(0, len(x) - k)]])
-    free = np.array([allowed(t) for t in tokens], np.float64)
-    return np.column_stack([shapes, lag(keyed, 1), lag(keyed, 2), lag(signs, 1), lag(free, 1), np.full(len(tokens), dense), np.full(len(tokens), lines), keyed])
+    lead = lambda x, k: lag(x[::-1], k)[::-1]
+    odd = np.array([unusual(t) for t in tokens], np.float64)
+    return np.column_stack([
+        shapes, odd, keyed, lag(keyed, 1), lag(keyed, 2), lead(keyed, 1), lead(keyed, 2), lag(signs, 1), lag(signs, 2), lag(odd, 1), lead(odd, 1),
+        (lag(keyed, 1) + lag(keyed, 2)) * np.minimum(shapes[:, 1], 1), np.full(len(tokens), dense), np.full(len(tokens), lines),
+    ])
 
 
-def allowed(token: str) -> bool:
+def unusual(token: str) -> bool:
     return len(token) >= LONG or any(c in "0123456789" for c in token)
 
 
@@ -144,17 +173,11 @@ def text_features(text: str) -> tuple[float, float]:
     return min(1.0, 20 * sum(map(text.count, "=:;{}")) / n), min(1.0, 40 * text.count("\n") / n)
 
 
-def emissions(chain: crf.Chain, tokens: list[str], about: tuple[float, float]) -> np.ndarray:
-    scores = window_features(tokens, *about) @ chain.weights
-    scores[[not allowed(t) for t in tokens], BEGIN:] = crf.NEVER
-    return scores
-
-
 def invented(rng: np.random.Generator) -> str:
     """A secret of one of several shapes."""
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
     draw = lambda n, a=letters: "".join(rng.choice(a, n))
-    kind = rng.integers(6)
+    kind = rng.integers(8)
     if kind == 0:
         return draw(40, np.array(list("0123456789abcdef")))
     if kind == 1:
@@ -165,37 +188,55 @@ def invented(rng: np.random.Generator) -> str:
         return draw(int(rng.integers(28, 44)), np.append(letters, ["+", "/"])) + "=" * int(rng.integers(0, 3))
     if kind == 4:
         return "eyJ" + draw(20) + "." + draw(30) + "." + draw(27)
+    if kind == 5:
+        return draw(int(rng.integers(12, 24)), letters[:52])
+    if kind == 6:
+        return draw(int(rng.integers(10, 18)), letters[26:52])
     return "-".join(draw(k, np.array(list("0123456789abcdef"))) for k in (8, 4, 4, 4, 12))
 
 
+def secret_parts(text: str) -> list[tuple[int, int]]:
+    """Secrets of the base spans: of an assignment its value, else the span."""
+    values = {m.start(): m.span(2) for m in ASSIGN.finditer(text)}
+    return [values[s] if k == 0 else (s, e) for s, k, e in base_spans(text)]
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> crf.Chain | None:
-    # Rows by a hash, about four times as many as wanted; those with a digit stay.
+    # About four times as many rows as wanted, by a hash; then the smallest hashes.
     share = 4 * sample_docs / max(1, docs.count())
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003
-    rows = sorted(docs.where((chance < share) & F.col("text").rlike("[0-9]")).select("text").limit(sample_docs).toArrow().column(0).to_pylist())
+    at = F.xxhash64("doc_id", "text")
+    some = docs.where((F.pmod(at, F.lit(1_000_003)) / 1_000_003 < share) & F.col("text").rlike("[0-9]") & (F.length("text") <= SAMPLE_CHARS))
+    rows = some.groupBy(at.alias("at")).agg(F.first("text").alias("text")).orderBy("at").limit(sample_docs).toArrow().column(1).to_pylist()
     rng = np.random.default_rng(11)
     xs, ys = [], []
 
     def learn(text: str, truth: list[tuple[int, int]]) -> None:
         about = text_features(text)
         for window in candidate_windows(text):
-            tokens, y = [text[a:b] for a, b in window], []
+            tokens, y, last = [text[a:b] for a, b in window], [], None
             if any(doubtful(text[a:b]) and not any(s < b and a < e for s, e in truth) for a, b in window):
                 continue  # may be a secret that no pattern knows
             for a, b in window:
-                hit = allowed(text[a:b]) and any(s < b and a < e for s, e in truth)
-                y.append(INSIDE if hit and y and y[-1] != OUTSIDE else BEGIN if hit else OUTSIDE)
+                hit = next((t for t in truth if t[0] < b and a < t[1]), None)
+                y.append(OUTSIDE if hit is None else INSIDE if hit == last else BEGIN)
+                last = hit
             xs.append(window_features(tokens, *about))
             ys.append(np.array(y))
 
     for text in rows:
-        learn(text, [(s, e) for s, _, e in base_spans(text)])
+        learn(text, secret_parts(text))
         lines = text.split("\n")
         line = lines[int(rng.integers(len(lines)))].split(" ")
-        at, secret = int(rng.integers(len(line) + 1)), invented(rng)
-        lead = " ".join(line[:at]) + " " * (at > 0) + str(rng.choice(["", "key: ", "secret = ", "auth ", "Bearer "]))
-        planted = lead + secret + " " + " ".join(line[at:])
-        learn(planted, [(s, e) for s, _, e in base_spans(planted)] + [(len(lead), len(lead) + len(secret))])
+        at, several = int(rng.integers(len(line) + 1)), [invented(rng) for _ in range(1 + int(rng.random() < 0.25))]
+        # Small letters alone are a secret by what stands before them only.
+        plain = all(map(str.islower, several[0]))
+        lead = str(rng.choice(["pwd: ", "key: ", "auth ", "Bearer ", "credential = "] if plain else ["", "key: ", "secret = ", "auth ", "Bearer "]))
+        planted, truth = " ".join(line[:at]) + " " * (at > 0) + lead, []
+        for secret in several:
+            truth.append((len(planted), len(planted) + len(secret)))
+            planted += secret + " "
+        planted += " ".join(line[at:])
+        learn(planted, [t for t in secret_parts(planted) if not any(a < t[1] and t[0] < b for a, b in truth)] + truth)
     return crf.fit(xs, ys, 3, epochs=8) if any(y.any() for y in ys) else None
 
 
@@ -208,28 +249,26 @@ def model_spans(chain: crf.Chain, batch: list[str], taken: list[list[tuple[int,
             about = about or text_features(text)
             windows.append(window)
             whose.append(i)
-            scores.append(emissions(chain, [text[a:b] for a, b in window], about))
+            scores.append(window_features([text[a:b] for a, b in window], *about) @ chain.weights)
     out: list[list[tuple[int, int, int]]] = [[] for _ in batch]
     for i, window, tags in zip(whose, windows, crf.viterbi(chain, scores)):
-        text, start, end = batch[i], None, 0
-        for (a, b), tag in [*zip(window, tags), ((0, 0), OUTSIDE)]:
-            if start is not None and tag != INSIDE:
-                out[i].append((start, 3, end))
-                start = None
-            if tag == BEGIN or tag == INSIDE and start is None:
-                start = a
-            end = b
-    for i, text in enumerate(batch):
-        trimmed = []
-        for s, k, e in out[i]:
-            while s < e and text[s] in _EDGE:
-                s += 1
-            while e > s and (text[e - 1] in _EDGE or text[e - 1] == "."):
-                e -= 1
-            if e > s and not any(a < e and s < b for a, _, b in taken[i]):
-                trimmed.append((s, k, e))
-        out[i] = trimmed
-    return out
+        text, run = batch[i], []
+        for (a, b), tag in [*zip(window, tags.tolist()), ((0, 0), OUTSIDE)]:
+            base = tag != OUTSIDE and any(s < b and a < e for s, _, e in taken[i])
+            if run and (tag != INSIDE or base):
+                out[i].append(_trimmed(text, run[0], run[-1]))
+                run = []
+            if tag != OUTSIDE and not base:
+                run = [run[0] if run else a, b]
+    return [[span for span in spans if span[2] > span[0]] for spans in out]
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int, int]:
+    while start < end and text[start] in _EDGE:
+        start += 1
+    while end > start and (text[end - 1] in _EDGE or text[end - 1] == "."):
+        end -= 1
+    return start, 3, end
 
 
 #: The columns of a scan, in order.
