@@ -9,6 +9,8 @@ shared folder, so lineage stays short.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hooked.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: str | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), both long: the root is the
     smallest node of the component. Self edges and repeats are allowed; nodes
-    with a self edge alone have no row."""
+    with a self edge alone have no row. The result is read from below ``work``."""
     spark = edges.sparkSession
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    path = common.shared_dir(spark)
+    work = work or common.shared_dir(spark)
+    path = f"{work}/0"
     now = common.stored(_small_star(edges), path)
     seen = state(now)
-    while seen[0]:
-        new_path = common.shared_dir(spark)
+    for turn in count(1):
+        if not seen[0]:
+            break
+        new_path = f"{work}/{turn}"
         new = common.stored(_small_star(_large_star(now)), new_path)
         common.discard(spark, path)
         before, seen, now, path = seen, state(new), new, new_path

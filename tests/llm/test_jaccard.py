@@ -76,6 +76,57 @@ def test_cut_groups(documents, monkeypatch):
     assert result(jaccard.linked(documents(rows))) == brute(rows)
 
 
+def test_large_groups_with_few_links(documents, monkeypatch):
+    """More pivots than a block: they meet by signature, in blocks of a signature too."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 4)
+    rng, rows = random.Random(3), []
+    base = [f"b{i}" for i in range(260)]
+    for i in range(36):  # about half in common: candidates that don't link
+        w = list(base)
+        at = rng.randrange(0, 130)
+        w[at : at + 110] = [f"x{i}_{k}" for k in range(110)]
+        rows.append((i, " ".join(w)))
+        if i % 4 == 0:
+            w[rng.randrange(260)] = "zz"
+            rows.append((100 + i, " ".join(w)))
+    rng.shuffle(rows)
+    assert result(jaccard.linked(documents(rows))) == brute(rows)
+
+
+def test_hot_signatures(documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "LEAST_SEEN", 3)
+    rows = corpus(5)
+    assert result(jaccard.linked(documents(rows))) == brute(rows)
+
+
+def test_equal_keys_of_different_sets(documents, monkeypatch):
+    """Only a few keys are left, so most are shared by different sets."""
+    rows = corpus(6, 40)
+    real = jaccard.told_apart
+
+    def poor(signed, path):
+        key = jaccard.F.when(jaccard.F.col("set_key").isNotNull(), jaccard.F.pmod("set_key", jaccard.F.lit(5)))
+        fewer = signed.withColumn("set_key", key.cast("long"))
+        return real(jaccard.common.stored(fewer), path)
+
+    monkeypatch.setattr(jaccard, "told_apart", poor)
+    assert result(jaccard.linked(documents(rows))) == brute(rows)
+
+
+def test_sets_that_fill_too_few_ranges():
+    """All hashes in one range: the first hashes in the global order are shared."""
+    rng = np.random.default_rng(2)
+    for n in (2, 7, 30, 200):
+        pool = np.unique(rng.integers(0, 2**20, 3 * n, dtype=np.uint64))
+        for _ in range(20):
+            a = np.sort(rng.permutation(pool)[:n])
+            b = np.unique(np.concatenate([rng.permutation(a)[max(1, n // 15) :], rng.permutation(pool)[:max(1, n // 30)]]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                assert set(jaccard.signatures(a)[0].tolist()) & set(jaccard.signatures(b)[0].tolist())
+
+
 def test_edges(spark, documents):
     long = " ".join(f"l{i % 977}x{i % 31}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b c"), (9, "A B c"), (5, "a b c d"), (None, "a b c d"), (None, None), (7, long), (6, long + " end"), (8, "x y z q r"), (8, "x y z q r"), (8, "other words here now")]
