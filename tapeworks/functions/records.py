@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def decode(lines: DataFrame, schema: T.StructType, column: str = "value", required: list[str] | None = None) -> DataFrame:
+def decode(lines: DataFrame, schema: T.StructType, column: str = "value", required: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``schema`` from lines of JSON. Field order is free and unknown
     fields are ignored; numbers may be quoted. A line that is no JSON object, or
     in which a required field (by default each) is missing or no number where one
-    is declared, has no row."""
+    is declared, has no row. ``keep``: columns beside the line that stay."""
     asked = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NumericType) else f.dataType) for f in schema])
-    parsed = lines.select(F.from_json(column, asked).alias("r"))
+    parsed = lines.select(F.from_json(column, asked).alias("r"), *(keep or []))
     values = [F.expr(f"try_cast(r.`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema]
     needed = schema.names if required is None else required
-    out = parsed.select(*values)
+    out = parsed.select(*values, *(keep or []))
     return out.dropna(subset=needed) if needed else out
 
 

@@ -15,7 +15,7 @@ UNIT_MS = {"millisecond": 1, "second": 1_000, "minute": 60_000, "hour": 3_600_00
 
 #: Options that a declaration may carry.
 OPTIONS = frozenset({
-    "connector", "format", "path", "mode", "primary_key", "event_time_column", "watermark_lag_ms", "allowed_lateness_ms",
+    "connector", "format", "path", "mode", "primary_key", "order_by", "event_time_column", "watermark_lag_ms", "allowed_lateness_ms",
     "brokers", "topic", "group_id", "auto_offset_reset", "columnar_decode", "url", "subscribe", "max_messages",
 })
 
@@ -59,3 +59,8 @@ class TableDef:
     @property
     def primary_key(self) -> list[str]:
         return [c.strip() for c in self.options.get("primary_key", "").split(",") if c.strip()]
+
+    @property
+    def order_by(self) -> list[str]:
+        """What tells the newest row of a key; the place of a row decides last."""
+        return [c.strip() for c in self.options.get("order_by", "").split(",") if c.strip()]

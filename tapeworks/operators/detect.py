@@ -3,13 +3,18 @@
 Rows of a key come in arrival order. Once ``warmup`` rows were taken in, a row
 farther from the average than ``threshold`` (relative, strictly) is an alert and
 changes nothing; any other row moves the average. The next state depends on the
-verdict, so this is a fold: ``aggregate`` over a key's sorted rows, inside the JVM.
+verdict, so this is a fold over a key's rows: rows are dealt by key and sorted, and
+a task runs through them batch by batch with two numbers of state, giving alerts as
+it finds them. No key's rows meet in memory, but one key is one task's work.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ class Detector:
     def take(self, price: float) -> tuple[float, float] | None:
         """(average, deviation) of an alert."""
         if self.average is not None and self.seen >= self.warmup:
-            deviation = abs(price - self.average) / self.average
+            apart = abs(price - self.average)
+            deviation = apart / self.average if self.average else math.inf if apart else 0.0
             if deviation > self.threshold:
                 return self.average, deviation
         self.average = price if self.average is None else (1 - ALPHA) * self.average + ALPHA * price
@@ -37,18 +43,25 @@ class Detector:
 
 
 def spike_alerts(df: DataFrame, key: str = "symbol", arrival: str = "arrival_seq", ts: str = "ts", price: str = "px", row_id: str = "trade_id", threshold: float = THRESHOLD, warmup: int = WARMUP) -> DataFrame:
-    """(ts, key, price, ewma, deviation, id) of every alert."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(arrival).alias("o"), F.col(row_id).alias("id"), F.col(ts).alias("ts"), F.col(price).cast("double").alias("px")))).alias("r"))
-    kinds = "struct<ewma:double,seen:bigint,alerts:array<struct<ts:bigint,px:double,ewma:double,deviation:double,id:bigint>>>"
-    start = F.struct(F.lit(None).cast("double").alias("ewma"), F.lit(0).cast("bigint").alias("seen"), F.array().cast("array<struct<ts:bigint,px:double,ewma:double,deviation:double,id:bigint>>").alias("alerts")).cast(kinds)
-
-    def step(s, r):
-        deviation = F.abs(r["px"] - s["ewma"]) / s["ewma"]
-        alert = s["ewma"].isNotNull() & (s["seen"] >= warmup) & (deviation > threshold)
-        found = F.struct(r["ts"].cast("bigint").alias("ts"), r["px"].alias("px"), s["ewma"].alias("ewma"), deviation.alias("deviation"), r["id"].cast("bigint").alias("id"))
-        moved = F.when(s["ewma"].isNull(), r["px"]).otherwise((1 - ALPHA) * s["ewma"] + ALPHA * r["px"])
-        return F.struct(F.when(alert, s["ewma"]).otherwise(moved).alias("ewma"), (s["seen"] + F.when(alert, 0).otherwise(1)).alias("seen"), F.when(alert, F.concat(s["alerts"], F.array(found))).otherwise(s["alerts"]).alias("alerts")).cast(kinds)
-
-    folded = rows.select(key, F.aggregate("r", start, step).alias("s"))
-    alerts = folded.select(key, F.explode("s.alerts").alias("a"))
-    return alerts.select(F.col("a.ts").alias(ts), key, F.col("a.px").alias(price), F.col("a.ewma").alias("ewma"), F.col("a.deviation").alias("deviation"), F.col("a.id").alias(row_id))
+    """(ts, key, price, ewma, deviation, id) of every alert; rows without a price
+    are left out."""
+    rows = df.where(F.col(price).isNotNull()).select(F.col(key).alias("key"), F.col(arrival).alias("o"), F.col(row_id).cast("long").alias("id"), F.col(ts).cast("long").alias("ts"), F.col(price).cast("double").alias("px"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "o", "id").select("key", "id", "ts", "px")
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, detector = None, Detector(threshold, warmup)
+        for batch in batches:
+            found, keys, prices = [], batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for i, px in enumerate(prices):
+                if keys[i] != now:
+                    now, detector = keys[i], Detector(threshold, warmup)
+                if alert := detector.take(px):
+                    found.append((i, *alert))
+            if found:
+                at, averages, deviations = zip(*found)
+                picked = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([picked.column(2), picked.column(0), picked.column(3), pa.array(averages, pa.float64()), pa.array(deviations, pa.float64()), picked.column(1)], names=["ts", "key", "px", "ewma", "deviation", "id"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    alerts = rows.mapInArrow(fold, f"ts long, key {kind}, px double, ewma double, deviation double, id long")
+    return alerts.select(F.col("ts").alias(ts), F.col("key").alias(key), F.col("px").alias(price), "ewma", "deviation", F.col("id").alias(row_id))

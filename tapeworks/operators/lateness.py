@@ -10,27 +10,41 @@ ordinary window adds the rows before.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WATERMARK = "__wm"
 
 
-def with_watermark(df: DataFrame, ts: str, arrival: str, lag_ms: int, tie: str | None = None, span: int = 3_600_000, name: str = WATERMARK) -> DataFrame:
+def with_watermark(df: DataFrame, ts: str, arrival: str, lag_ms: int, tie: str | None = None, span: int = 3_600_000, name: str = WATERMARK, sources: tuple[str, list] | None = None) -> DataFrame:
     """``df`` with the watermark at each row's arrival; null for the first row.
 
     ``span``: width of a span in units of ``arrival``. Rows with equal arrival
-    come in the order of ``tie``.
+    come in the order of ``tie``. ``sources``: a column and its values, if rows come
+    from several feeds (a topic's partitions, say); the watermark is then the
+    smallest of theirs, and null until each has had a row.
     """
-    order = [arrival] if tie is None else [arrival, tie]
-    spans = df.withColumn("__span", F.floor(F.col(arrival) / span))
-    per_span = spans.groupBy("__span").agg(F.max(ts).alias("__m"))
-    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = per_span.select("__span", F.max("__m").over(before).alias("__earlier"))
-    inside = Window.partitionBy("__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col(arrival)] if tie is None else [F.col(arrival), F.col(tie)]
+    return watermark_in_order(df, ts, [F.floor(F.col(arrival) / span)], order, lag_ms, name, sources)
+
+
+def watermark_in_order(df: DataFrame, ts: str, spans: list[Column], order: list[Column], lag_ms: int, name: str = WATERMARK, sources: tuple[str, list] | None = None) -> DataFrame:
+    """The same for rows whose order is that of ``spans`` and then ``order``."""
+    cut = [f"__span{i}" for i in range(len(spans))]
+    times = [F.when(F.col(sources[0]) == F.lit(v), F.col(ts)) for v in sources[1]] if sources else [F.col(ts)]
+    rows = df.withColumns(dict(zip(cut, spans)))
+    per_span = rows.groupBy(*cut).agg(*(F.max(t).alias(f"__m{i}") for i, t in enumerate(times)))
+    before = Window.orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_span.select(*cut, *(F.max(f"__m{i}").over(before).alias(f"__earlier{i}") for i in range(len(times))))
+    inside = Window.partitionBy(*cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"__inside{i}": F.max(t).over(inside) for i, t in enumerate(times)}).join(earlier, cut, "left")
     # greatest() skips nulls, so the first row of all keeps a null.
-    return (spans.withColumn("__inside", F.max(ts).over(inside)).join(earlier, "__span", "left")
-        .withColumn(name, F.greatest("__inside", "__earlier") - F.lit(lag_ms)).drop("__span", "__inside", "__earlier"))
+    most = [F.greatest(f"__inside{i}", f"__earlier{i}") for i in range(len(times))]
+    least = most[0] if len(most) == 1 else F.when(reduce(and_, (m.isNotNull() for m in most)), F.least(*most))
+    return rows.withColumn(name, least - F.lit(lag_ms)).drop(*cut, *(f"__{k}{i}" for k in ("inside", "earlier") for i in range(len(times))))
 
 
 def row_on_time(ts: str = "ts", wm: str = WATERMARK) -> Column:

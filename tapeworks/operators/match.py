@@ -5,20 +5,29 @@ allow; PREV(x) is ``lag`` in the partition's order, and a variable without a
 condition fits every row. A partition's rows in order then make a string, and
 the pattern is a regular expression over character classes, one group for each
 variable, so overlapping conditions and greedy quantifiers with backtracking
-come from the regular-expression engine. Group lengths give back row positions.
+come from the regular-expression engine. Group spans give back row positions.
 Matches do not overlap (AFTER MATCH SKIP PAST LAST ROW).
 
-A partition's (order, measure) columns meet in one row, as matching along a
-partition is sequential; other columns are left behind first.
+A task reads its partitions in order, a batch at a time. For a pattern with a bound
+it keeps the rows that a match could still begin in, the ``longest`` match and a
+batch at most: what begins earlier has seen all rows that it may hold. A pattern
+without a bound is matched when its partition has ended. Only the label and the
+measured columns travel.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _TERM = re.compile(r"\s*([A-Za-z_]\w*)\s*(\{\s*\d+\s*(?:,\s*\d*\s*)?\}|[?*+])?(\??)\s*")
 _MEASURE = re.compile(r"\s*(FIRST|LAST)\s*\(\s*(\w+)\.(\w+)\s*\)\s+AS\s+(\w+)\s*", re.IGNORECASE)
@@ -53,6 +62,16 @@ class Pattern:
         """Groups 1, 2, ... are the terms."""
         return "".join(f"({self._class(v)}{q})" for v, q in self.terms)
 
+    def longest(self) -> int:
+        """Rows of the longest possible match; 0 if there is no bound."""
+        total = 0
+        for _, q in self.terms:
+            q = q.rstrip("?") if len(q) > 1 else q
+            if q in ("*", "+") or q.endswith(",}"):
+                return 0
+            total += int(q[1:-1].split(",")[-1]) if q.startswith("{") else 1
+        return total
+
     def _class(self, variable: str) -> str:
         bit = 1 << self.variables.index(variable)
         fits = [m for m in range(1 << len(self.variables)) if m & bit]
@@ -99,29 +118,77 @@ def match_recognize(df: DataFrame, partition: list[str], order: str, measures: l
     of a variable that matched no row is null."""
     p = Pattern.parse(pattern, define)
     needed = sorted({c for _, _, c, _ in measures})
+    keys = [f"k{i}" for i in range(len(partition))]
     rows = labelled(df, partition, order, p)
-    packed = rows.groupBy(*partition).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.col("__label"), *(F.col(c).alias(f"__m_{c}") for c in needed)))).alias("__r"))
-    text = F.array_join(F.transform("__r", lambda r: r["__label"]), "")
-    # Before a match comes what it leaves out, as little as can be.
-    regex = F.lit(f"(?s)(.*?){p.regex()}")
-    groups = [F.transform(F.regexp_extract_all(F.col("__t"), regex, F.lit(i + 1)), F.length).alias(f"__g{i}") for i in range(len(p.terms) + 1)]
-    sized = packed.withColumn("__t", text).where(F.length("__t") > 0).select(*partition, "__r", F.arrays_zip(*groups).alias("__z"))
-    found = sized.select(*partition, "__r", F.posexplode("__z").alias("__i", "__n"), "__z")
-    each = lambda z: sum((z[f"__g{i}"] for i in range(1, len(p.terms) + 1)), z["__g0"])
-    before = F.aggregate(F.slice("__z", F.lit(1), F.col("__i")), F.lit(0), lambda a, z: a + each(z))
-    found = found.withColumn("__at", before + F.col("__n.__g0"))
-
-    def measure(kind: str, variable: str, column: str) -> Column:
-        at, picked = F.col("__at"), F.lit(None).cast("int")
-        for i, (v, _) in enumerate(p.terms, 1):
-            n = F.col(f"__n.__g{i}")
-            if v == variable:
-                here = F.when(n > 0, at + 1 if kind == "FIRST" else at + n)
-                picked = F.coalesce(picked, here) if kind == "FIRST" else F.coalesce(here, picked)
-            at = at + n
-        return F.when(picked.isNotNull(), F.get("__r", picked - 1)[f"__m_{column}"])
-
-    return found.select(*partition, *(measure(k, v, c).alias(name) for k, v, c, name in measures))
+    rows = rows.select(*(F.col(c).alias(k) for c, k in zip(partition, keys)), F.col(order).alias("o"), F.col("__label").alias("label"), *(F.col(c).alias(f"m_{c}") for c in needed))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "o").drop("o")
+    kinds = {**{k: rows.schema[k].dataType for k in keys}, **{f"r{i}": rows.schema[f"m_{c}"].dataType for i, (_, _, c, _) in enumerate(measures)}}
+    schema = T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+    arrow = to_arrow_schema(schema)
+
+    def places(spans: list[tuple[int, int]]) -> list[int | None]:
+        """Row of each measure in a match."""
+        out = []
+        for kind, variable, _, _ in measures:
+            own = [s for s, (v, _) in zip(spans, p.terms) if v == variable and s[0] < s[1]]
+            out.append(None if not own else own[0][0] if kind == "FIRST" else own[-1][1] - 1)
+        return out
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        key = None
+
+        def done(ended: bool) -> Iterator[pa.RecordBatch]:
+            part = pa.concat_tables(held)
+            found, after = matched(part.column("label").to_pylist(), p, ended)
+            held[:] = [part.slice(after)]
+            if found:
+                picked = [places(m) for m in found]
+                columns = [part.column(c).take(pa.array([m[0][0] for m in found], pa.int64())) for c in keys]
+                columns += [part.column(f"m_{c}").take(pa.array([r[i] for r in picked], pa.int64())) for i, (_, _, c, _) in enumerate(measures)]
+                yield from pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).combine_chunks().to_batches()
+
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            for low, high in _runs(now, keys):
+                own = [now.column(c)[low].as_py() for c in keys]
+                if held and own != key:
+                    yield from done(True)
+                    held.clear()
+                held.append(now.slice(low, high - low))
+                key = own
+            if held and p.longest():
+                yield from done(False)
+        if held:
+            yield from done(True)
+
+    out = rows.mapInArrow(search, schema)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(partition, keys)), *(F.col(f"r{i}").alias(name) for i, (_, _, _, name) in enumerate(measures)))
+
+
+def _runs(rows: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """Spans of rows with equal keys, which are sorted."""
+    n, differ = rows.num_rows, np.zeros(max(0, rows.num_rows - 1), bool)
+    for k in keys:
+        codes = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = np.asarray((codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices)
+        differ |= codes[1:] != codes[:-1]
+    cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), n]
+    return list(zip(cuts, cuts[1:])) if n else []
+
+
+def matched(labels: list[str], pattern: Pattern, ended: bool) -> tuple[list[list[tuple[int, int]]], int]:
+    """Matches (the span of each term) that no later row can change, and the row from
+    which on rows are still needed. ``ended``: no row follows; else the pattern has a
+    bound."""
+    text, most, out = "".join(labels), pattern.longest(), []
+    still = len(text) if ended else max(0, len(text) - most + 1)
+    for m in re.finditer(pattern.regex(), text):
+        if m.start() >= still:
+            break
+        out.append([m.span(i) for i in range(1, len(pattern.terms) + 1)])
+        still = max(still, m.end())
+    return out, still
 
 
 def match_rows(labels: str, pattern: Pattern) -> list[list[tuple[int, int]]]:

@@ -58,7 +58,7 @@ def stream_volume_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final hopping windows, ranked and merged into a keyed table batch by batch."""
     rows, path = _stream(spark, sf_dir)
     hops = W.aggregate(rows, W.hop(6 * HOUR, HOUR), ["symbol"], [W.Agg("vol", "sum", "qty")]).select(F.col("window_start").alias("wstart"), "symbol", "vol")
-    keyed = KeyedTable(spark, f"{path}_keyed", ["wstart", "symbol"])
+    keyed = KeyedTable(spark, f"{path}_keyed", ["wstart", "symbol"], ["wstart"])
     put = upsert_top_n(keyed, ["wstart"], [F.desc("vol"), F.asc("symbol")], 3)
     hops.writeStream.outputMode("append").option("checkpointLocation", f"{path}_checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return keyed.read()
@@ -151,7 +151,7 @@ TIMED = ", event_time_column='ts', watermark_lag_ms='3000'"
 def _script(spark: SparkSession, sf_dir: str, text: str, late: bool = False) -> DataFrame:
     path = feed.folder(spark, "declared")
     rows = tape(spark, sf_dir)
-    (rows.orderBy("arrival", "trade_id").coalesce(1) if late else rows).write.parquet(path)
+    (rows.orderBy("arrival", "trade_id") if late else rows).write.parquet(path)
     return Engine(spark).execute(DECLARED.format(path=path, more=TIMED if late else "") + text)
 
 

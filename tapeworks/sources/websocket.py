@@ -27,7 +27,7 @@ def _exactly(sock: socket.socket, n: int) -> bytes:
     while len(out) < n:
         got = sock.recv(n - len(out))
         if not got:
-            raise EOFError
+            raise ConnectionError("the feed was cut")
         out += got
     return out
 
@@ -39,7 +39,8 @@ def _send(sock: socket.socket, code: int, data: bytes) -> None:
 
 
 def messages(url: str, subscribe: str = "", timeout: float = 30) -> Iterator[str]:
-    """Text messages of a feed until it closes."""
+    """Text messages of a feed until it says that it closes. A connection that is
+    cut before that is an error, so a cut feed never looks complete."""
     at = urlsplit(url)
     secure = at.scheme == "wss"
     sock = socket.create_connection((at.hostname, at.port or (443 if secure else 80)), timeout)
@@ -58,14 +59,12 @@ def messages(url: str, subscribe: str = "", timeout: float = 30) -> Iterator[str
             _send(sock, TEXT, subscribe.encode())
         parts = b""
         while True:
-            try:
-                first, second = _exactly(sock, 2)
-            except (EOFError, ConnectionResetError):
-                return
+            first, second = _exactly(sock, 2)
             n = second & 0x7F
             n = struct.unpack(">H", _exactly(sock, 2))[0] if n == 126 else struct.unpack(">Q", _exactly(sock, 8))[0] if n == 127 else n
             data, code = _exactly(sock, n), first & 0x0F
             if code == CLOSE:
+                _send(sock, CLOSE, data[:2])
                 return
             if code == PING:
                 _send(sock, PONG, data)

@@ -20,19 +20,32 @@ def folder(spark: SparkSession, name: str) -> str:
 def chunked(df: DataFrame, arrival: str, span: int, path: str, marker: DataFrame | None = None) -> int:
     """Write ``df`` as a folder of files, one per span of arrival, in that order;
     then ``marker``. A stream over it moves its watermark between files only, so
-    ``span`` should be no longer than what counts as late."""
-    spans = df.withColumn("__span", F.floor(F.col(arrival) / span))
-    first, last = spans.agg(F.min("__span"), F.max("__span")).first()
-    # Order the spans that have rows; they are as many as the stream has batches.
-    for n, (value,) in enumerate(sorted(spans.select("__span").distinct().collect()) if first is not None else []):
-        spans.where(F.col("__span") == value).drop("__span").coalesce(1).write.parquet(f"{path}/part={n:06d}")
-    count = 0 if first is None else n + 1
+    ``span`` should be no longer than what counts as late. ``df`` is read twice,
+    for its first and last arrival and once to be written: dealt by span, so that a
+    task writes whole files. Spans without rows have no file."""
+    spans = df.withColumn("part", F.floor(F.col(arrival) / span))
+    first, last = spans.agg(F.min("part"), F.max("part")).first()
+    count = 0 if first is None else int(last - first + 1)
+    if count:
+        spans.withColumn("part", F.lpad((F.col("part") - first).cast("string"), 9, "0")).repartition("part").sortWithinPartitions("part", arrival).write.partitionBy("part").parquet(path)
+        _in_order(df.sparkSession, path)
     if marker is not None:
-        marker.select(*df.columns).coalesce(1).write.parquet(f"{path}/part={count:06d}")
+        marker.select(*df.columns).coalesce(1).write.parquet(f"{path}/part={count:09d}")
         count += 1
     return count
 
 
+def _in_order(spark: SparkSession, path: str) -> None:
+    """Streams take files by their time of change, so that follows their names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/*.parquet")))
+    now = fs.getFileStatus(at).getModificationTime()
+    for i, f in enumerate(files):  # one a second, the last one now
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), now - 1000 * (len(files) - i), -1)
+
+
 def stream(spark: SparkSession, path: str, schema, ts: str | None = "ts", lag_ms: int = 3_000) -> DataFrame:
     """The files of ``chunked`` as a stream, a file at a time, oldest first."""
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")

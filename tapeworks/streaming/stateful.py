@@ -104,19 +104,10 @@ class Matcher(Ordered):
                 break
             done = spans[-1][1]
             yield Row(key=key, starts=[times[s] if s < e else None for s, e in spans], ends=[times[e - 1] if s < e else None for s, e in spans])
-        keep = max(done, len(labels) - self.longest()) if self.longest() else done
+        most = self.pattern.longest()
+        keep = max(done, len(labels) - most) if most else done
         self.open.update((labels[keep:], times[keep:], prev))
 
-    def longest(self) -> int:
-        """Rows of the longest possible match; 0 if there is no bound."""
-        total = 0
-        for _, q in self.pattern.terms:
-            q = q.rstrip("?") if len(q) > 1 else q
-            if q in ("*", "+") or q.endswith(",}"):
-                return 0
-            total += int(q[1:-1].split(",")[-1]) if q.startswith("{") else 1
-        return total
-
 
 class SpikeDetector(StatefulProcessor):
     """The detector in order of arrival: rows of one call are sorted by it."""

@@ -1,6 +1,7 @@
 """Streams against tables: windows, joins, state, restart, capture, sinks, feeds."""
 
 import base64
+import contextlib
 import hashlib
 import json
 import socket
@@ -115,7 +116,7 @@ def test_detector_survives_a_restart(spark, some, tape, tmp_path):
     assert feed.run_once(stream(), out, checkpoint=ck).count() == 0
     seen = state.state(spark, ck, ["ewma", "seen"])
     assert {r.slot for r in seen.collect()} == {"ewma", "seen"} and json.loads(seen.where("slot = 'seen'").first().value)["value"] == mine.count()
-    tkcx.where(F.col("arrival_ms") >= wrong["ts"] - 60_000).coalesce(1).write.parquet(f"{path}/part={n:06d}")
+    tkcx.where(F.col("arrival_ms") >= wrong["ts"] - 60_000).coalesce(1).write.parquet(f"{path}/part={n:09d}")
     got = feed.run_once(stream(), out, checkpoint=ck)
     assert [r.trade_id for r in got.collect()] == [wrong["trade_id"]]
     assert rows(got, "trade_id", "ewma") == rows(detect.spike_alerts(tkcx), "trade_id", "ewma")
@@ -150,7 +151,7 @@ def test_state_capture_and_replay(spark, some, tmp_path):
 
 
 def test_upsert_of_top_rows(spark, tmp_path):
-    keyed = KeyedTable(spark, str(tmp_path / "keyed"), ["w", "s"])
+    keyed = KeyedTable(spark, str(tmp_path / "keyed"), ["w", "s"], ["w"])
     put = upsert_top_n(keyed, ["w"], [F.desc("v"), F.asc("s")], 2)
     frame = lambda *r: spark.createDataFrame(list(r), "w long, s string, v long")
     put(frame((1, "a", 5), (1, "b", 4), (1, "c", 3), (2, "a", 1)), 0)
@@ -159,6 +160,57 @@ def test_upsert_of_top_rows(spark, tmp_path):
     assert rows(keyed.read(), "w", "s", "v") == [(1, "a", 5), (1, "c", 9), (2, "a", 1)]
 
 
+def test_keyed_table_rewrites_touched_buckets_and_drops_old_ones(spark, tmp_path):
+    import glob
+
+    keyed = KeyedTable(spark, str(tmp_path / "keyed"), ["k"], order=["at"])
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, v string, at long")
+    keyed.merge(frame(*((i, "old", 0) for i in range(300))), 0)
+    first = dict(keyed._pointer()["folders"])
+    keyed.merge(frame((7, "late", 1), (7, "newest", 3), (7, "new", 2), (900, "x", 1)), 1)
+    second = keyed._pointer()["folders"]
+    assert 1 <= sum(first.get(b) != f for b, f in second.items()) <= 2
+    assert rows(keyed.read().where("k IN (7, 900)"), "k", "v") == [(7, "newest"), (900, "x")] and keyed.read().count() == 301
+    for n in range(2, 5):
+        keyed.merge(frame((7, f"v{n}", n)), n)
+    kept = {p.split("keyed/")[1] for p in glob.glob(str(tmp_path / "keyed/v*/__bucket=*"))}
+    assert len(kept) <= len(second) + 2 and set(keyed._pointer()["folders"].values()) <= kept
+    with pytest.raises(ValueError):
+        KeyedTable(spark, str(tmp_path / "other"), ["w", "s"]).merge(frame((1, "a", 1)).toDF("w", "s", "v"), 0, replace=["w"])
+
+
+def test_newest_rows(spark):
+    from tapeworks.sources.writers import newest
+
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 7), (1, "c", 6), (2, "d", None), (None, "e", 1)], "k long, v string, at long").coalesce(1)
+    assert rows(newest(df.where("k IS NOT NULL"), ["k"], ["at"]), "k", "v") == [(1, "b"), (2, "d")]
+    assert rows(newest(df.where("k IS NOT NULL"), ["k"]), "k", "v") == [(1, "c"), (2, "d")]
+
+
+def test_arrival_order_of_several_files(spark, tmp_path):
+    """Files of unequal size: Spark reads the large one first."""
+    base = T.BASE_MS
+    small = [(base + i * 1_000, i) for i in range(5)]
+    large = [(base + 3_600_000 + i * 100, 5 + i) for i in range(5_000)]
+    for name, part in (("part-0", small), ("part-1", large)):
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / f"{name}.json").write_text("".join(json.dumps({"ts": ts, "n": n}) + "\n" for ts, n in part))
+    t = TableDef("t", spark.createDataFrame([(1, 1)], "ts long, n long").schema, {"connector": "file", "format": "json", "path": str(tmp_path / "t"), "event_time_column": "ts", "watermark_lag_ms": "0"})
+    got = {r.n: r["__wm"] for r in read(spark, t).collect()}
+    most = None
+    for ts, n in small + large:
+        assert got[n] == most
+        most = max(ts, most or ts)
+    assert read(spark, t).columns == ["ts", "n", "__wm"]
+
+
+def test_deduplicated_feeds(spark):
+    from tapeworks.sources.readers import deduplicated
+
+    df = spark.createDataFrame([(1, 2), (1, 2), (2, 2)], "symbol long, window_start long")
+    assert deduplicated(df, ["symbol", "window_start"]).count() == 2
+
+
 def test_sinks(spark, some, tmp_path):
     schema = some.select("trade_id", "px").schema
     for mode, key in (("append", {}), ("upsert", {"mode": "upsert", "primary_key": "trade_id"})):
@@ -174,8 +226,9 @@ def test_sinks(spark, some, tmp_path):
         read(spark, TableDef("n", schema, {"connector": "blackhole"}))
 
 
-def _serve(sent, got):
-    """A WebSocket server that takes one client and sends ``sent``."""
+def _serve(sent, got, cut=False):
+    """A WebSocket server that takes one client and sends ``sent``; ``cut``: it goes
+    without saying so."""
     server = socket.create_server(("127.0.0.1", 0))
 
     def run():
@@ -195,9 +248,12 @@ def _serve(sent, got):
                 data = m.encode()
                 size = bytes([len(data)]) if len(data) < 126 else b"\x7e" + len(data).to_bytes(2, "big")
                 client.sendall(b"\x81" + size + data)
+            if cut:
+                return
             client.sendall(b"\x88\x00")
-            while client.recv(64):  # the answer to the ping, then the end
-                pass
+            with contextlib.suppress(ConnectionError):  # answers to ping and end, or the client is gone
+                while client.recv(64):
+                    pass
 
     threading.Thread(target=run, daemon=True).start()
     return f"ws://127.0.0.1:{server.getsockname()[1]}/feed"
@@ -207,6 +263,10 @@ def test_websocket_messages_and_reader():
     got = []
     sent = [json.dumps({"n": i, "pad": "x" * (200 if i == 1 else 3)}) for i in range(5)]
     assert list(websocket.messages(_serve(sent, got), "hello")) == sent and got == ["hello"]
+    feed_cut, seen = websocket.messages(_serve(sent, [], cut=True), "hello"), []
+    with pytest.raises(ConnectionError):
+        seen += [m for m in feed_cut if not seen.append(m)]
+    assert seen == sent
     reader = websocket.WebSocketReader({"url": "u", "max_messages": "3"}, connect=lambda url, subscribe: iter("abcdef"))
     found, at = reader.read(reader.initialOffset())
     assert list(found) == [("a",), ("b",), ("c",)] and at == {"messages": 3}

@@ -151,6 +151,38 @@ def test_patterns(spark):
         match.Pattern.parse("a | b", {})
 
 
+def test_patterns_over_many_batches_and_partitions(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = {f"k{j}": "".join(rng.choice("dduutox") for _ in range(rng.choice([1, 40, 700]))) for j in range(6)} | {None: "oddduu" * 30}
+    df = spark.createDataFrame([(k, i, c) for k, t in texts.items() for i, c in enumerate(t)], "k string, i int, c string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for pattern, regex in (("s d{2,6} t? u{1,3}", "(.)(d{2,6})(t?)(u{1,3})"), ("s d+ u{2}", "(.)(d+)()(u{2})"), ("d{1,2}? u*", "(d{1,2}?)()()(u*)")):
+            out = match.match_recognize(df, ["k"], "i", [("FIRST", "d", "i", "f"), ("LAST", "u", "i", "l")], pattern, {v: f"c = '{v}'" for v in "dtu"})
+            group = 2 if pattern[0] == "s" else 1
+            want = {(k, m.start(group), m.end(4) - 1 if m[4] else None) for k, t in texts.items() for m in re.finditer(regex, t)}
+            assert {tuple(r) for r in out.collect()} == want and len(want) > 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_watermark_of_several_feeds(spark):
+    import random
+
+    rng = random.Random(2)
+    rows_in = [(i, rng.randrange(3) if i > 20 else rng.randrange(2), 1_000 * i + rng.randrange(9_000)) for i in range(200)]
+    df = spark.createDataFrame(rows_in, "arrival long, part int, ts long").repartition(4)
+    got = {r.arrival: r["__wm"] for r in lateness.with_watermark(df, "ts", "arrival", 500, span=13, sources=("part", [0, 1, 2])).collect()}
+    most = {}
+    for arrival, part, ts in rows_in:
+        assert got[arrival] == (min(most.values()) - 500 if len(most) == 3 else None)
+        most[part] = max(ts, most.get(part, ts))
+
+
 def test_equal_to_a_threshold_matches_no_label(spark):
     df = spark.createDataFrame([("a", i, p) for i, p in enumerate((100.0, 50.0, 25.0, 25.0))], "k string, i int, p double")
     define = {"d": "p < PREV(p) * 0.5", "u": "p > PREV(p)"}
@@ -174,6 +206,8 @@ def test_detector_fixture(spark, trades, tape):
     df = spark.createDataFrame(_ardn([("ARDN", 200, 9_000, 800.0, 200), ("ARDN", 201, 9_001, 100.1, 201)]), "symbol string, arrival_seq long, ts long, px double, trade_id long")
     alerts = detect.spike_alerts(df).collect()
     assert [(a.symbol, a.trade_id) for a in alerts] == [("ARDN", 200)] and alerts[0].deviation == pytest.approx(deviation)
+    zero = spark.createDataFrame([("Z", i, i, 0.0 if i < 20 else 1.0, i) for i in range(21)] + [("Z", 30, 30, None, 30)], "symbol string, arrival_seq long, ts long, px double, trade_id long")
+    assert [(a.trade_id, a.deviation) for a in detect.spike_alerts(zero).collect()] == [(20, float("inf"))]
     found = detect.spike_alerts(trades).collect()
     assert [a.trade_id for a in found] == [tape.manifest["incidents"]["wrong_print"]["trade_id"]]
 
