@@ -16,23 +16,26 @@ from pyspark.sql import functions as F
 from .functions.time import relative_spread
 from .operators import analytics, detect, joins, lateness, match
 from .operators import windows as W
+from .sources.readers import BLOCK, FILE, ROW, SPAN_ROWS, placed
 
-MINUTE, HOUR = 60_000, 3_600_000
+MINUTE, HOUR, LAG = 60_000, 3_600_000, 3_000
 BARS = [W.Agg("hi", "max", "px"), W.Agg("lo", "min", "px"), W.Agg("avg_px", "avg", "px"), W.Agg("vol", "sum", "qty"), W.Agg("n", "count")]
 TOTALS = [W.Agg("vol", "sum", "qty"), W.Agg("n", "count")]
-DEFINE = {"d": "avg_px < PREV(avg_px) * 0.997", "t": "avg_px > PREV(avg_px) * 0.997 AND avg_px < PREV(avg_px) * 1.003", "u": "avg_px > PREV(avg_px) * 1.003"}
-MEASURES = "FIRST(d.window_start) AS from_ts, LAST(d.window_start) AS trough_ts, LAST(u.window_start) AS to_ts, FIRST(d.avg_px) AS start_px, LAST(d.avg_px) AS trough_px, LAST(u.avg_px) AS end_px"
+#: A fall by about 1 % a minute and the recovery; ordinary minutes move far less.
+DEFINE = {"rise": "avg_px / PREV(avg_px) > 1.0035", "dip": "avg_px / PREV(avg_px) < 0.9965", "pause": "abs(avg_px / PREV(avg_px) - 1) < 0.0035"}
+PATTERN = "top dip{3,9} pause? rise{2,9}"
+MEASURES = "FIRST(dip.avg_px) AS px_began, LAST(dip.avg_px) AS px_lowest, LAST(rise.avg_px) AS px_ended, FIRST(dip.window_start) AS began, LAST(dip.window_start) AS lowest, LAST(rise.window_start) AS ended"
 
 
-def scenes(trades: DataFrame, quotes: DataFrame) -> dict[str, DataFrame]:
-    late = lateness.with_watermark(trades, "ts", "arrival_seq", 3_000, span=10_000)
+def scenes(late: DataFrame, quotes: DataFrame) -> dict[str, DataFrame]:
+    trades = late.drop(lateness.WATERMARK)
     grace = W.aggregate(late, W.tumble(MINUTE), ["symbol"], BARS, lateness_ms=MINUTE)
     return {
         "bars": W.aggregate(late, W.tumble(MINUTE), ["symbol"], BARS),
         "bars_grace": grace,
         "leaders": analytics.top_n(W.aggregate(late, W.hop(5 * MINUTE, MINUTE), ["symbol"], TOTALS), ["window_start"], [F.desc("vol"), F.asc("symbol")], 3),
         "spreads": joins.interval_join(late.where(lateness.row_on_time()), quotes, "symbol", 300, names=("t", "q")),
-        "reversals": match.match_recognize(grace, ["symbol"], "window_start", match.measures_of(MEASURES), "s d{3,8} t? u{2,8}", DEFINE),
+        "reversals": match.match_recognize(grace, ["symbol"], "window_start", match.measures_of(MEASURES), PATTERN, DEFINE),
         "sessions": W.aggregate(trades, W.session(2_000), ["symbol"], TOTALS),
         "board": W.aggregate(late, W.cumulate(10 * MINUTE, HOUR), ["symbol"], TOTALS),
         "running": analytics.running_stats(late.where(lateness.row_on_time()), "symbol", "ts", "trade_id", "px"),
@@ -41,12 +44,12 @@ def scenes(trades: DataFrame, quotes: DataFrame) -> dict[str, DataFrame]:
 
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict]:
-    """A written tape: its trades with their place in the file, quotes, manifest."""
-    def ndjson(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).json(f"{folder}/{name}.ndjson").withColumn("arrival_seq", F.monotonically_increasing_id())
-
-    trades = ndjson("trades", "ts long, symbol string, px double, qty long, side string, venue string, trade_id long")
-    quotes = ndjson("quotes", "ts long, symbol string, bid double, ask double, bid_sz long, ask_sz long")
+    """A written tape: its trades with the watermark at their arrival and a key of
+    their order, quotes, manifest."""
+    rows = placed(spark.read.schema("ts long, symbol string, px double, qty long, side string, venue string, trade_id long").json(f"{folder}/trades.ndjson"))
+    spans = [F.col(FILE), F.col(BLOCK), F.floor(F.col(ROW) / SPAN_ROWS)]
+    trades = lateness.watermark_in_order(rows, "ts", spans, [F.col(ROW)], LAG).withColumn("arrival_seq", F.struct(FILE, BLOCK, ROW)).drop(FILE, BLOCK, ROW)
+    quotes = spark.read.schema("ts long, symbol string, bid double, ask double, bid_sz long, ask_sz long").json(f"{folder}/quotes.ndjson")
     return trades, quotes, json.loads("".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))
 
 
@@ -88,9 +91,9 @@ def problems(out: dict[str, DataFrame], trades: DataFrame, manifest: dict) -> li
         spread = relative_spread("q_bid", "q_ask")
         a, c = out["spreads"].where(f"t_symbol = '{v['symbol']}'").agg(F.avg(F.when(inside, spread)), F.avg(F.when(~inside, spread))).first()
         expect(bool(a and c) and 2 < a / c < 4, "spreads widen in the fall")
-        found = [r for r in out["reversals"].where(f"symbol = '{v['symbol']}'").collect() if r.from_ts >= v["from_ts"] - 2 * MINUTE and abs(r.trough_ts - (v["turn_ts"] - MINUTE)) <= MINUTE]
+        found = [r for r in out["reversals"].where(f"symbol = '{v['symbol']}'").collect() if r.began >= v["from_ts"] - 2 * MINUTE and abs(r.lowest - (v["turn_ts"] - MINUTE)) <= MINUTE]
         expect(len(found) == 1, "one reversal in the fall")
-        expect(all(r.trough_px < min(r.start_px, r.end_px) for r in found), "the trough is the lowest")
+        expect(all(r.px_lowest < min(r.px_began, r.px_ended) for r in found), "the trough is the lowest")
     return wrong
 
 

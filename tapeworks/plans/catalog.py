@@ -97,6 +97,12 @@ def volume_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_n(hops.select(F.col("window_start").alias("wstart"), "symbol", "vol"), ["wstart"], [F.desc("vol"), F.asc("symbol")], 3)
 
 
+@query(f"WITH {TAPE} SELECT symbol, ts // {HOUR} * {HOUR} AS window_start, round(sum(px), 4) AS total_px FROM tape GROUP BY ALL")
+def sum_of_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = W.aggregate(tape(spark, sf_dir), W.tumble(HOUR), ["symbol"], [W.Agg("total_px", "sum", "px")])
+    return sums.select("symbol", "window_start", F.round("total_px", 4).alias("total_px"))
+
+
 @query(f"WITH {TAPE}, {HOPS} SELECT window_start, min_by(symbol, (-vol, symbol)) AS symbol, max(vol) AS vol FROM hops GROUP BY 1")
 def window_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     hops = W.aggregate(tape(spark, sf_dir), W.hop(6 * HOUR, HOUR), ["symbol"], [W.Agg("vol", "sum", "qty")])
@@ -185,19 +191,21 @@ def spread_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.groupBy("symbol").agg(F.avg(F.when(inside, far)).alias("inside"), F.avg(F.when(~inside, far)).alias("outside")), "inside", "outside")
 
 
-PATTERN, DEFINE = "s d{2,6} t? u{1,6}", {"d": "avg_px < PREV(avg_px) * 0.98", "t": "avg_px > PREV(avg_px) * 0.98 AND avg_px < PREV(avg_px) * 1.02", "u": "avg_px > PREV(avg_px) * 1.02"}
-MEASURES = "FIRST(d.window_start) AS from_ts, LAST(d.window_start) AS trough_ts, LAST(u.window_start) AS to_ts, FIRST(d.avg_px) AS start_px, LAST(d.avg_px) AS trough_px, LAST(u.avg_px) AS end_px"
+#: A dip of some bars, perhaps a pause, and a rise after it.
+PATTERN = "top dip{2,6} pause? rise{1,6}"
+DEFINE = {"rise": "avg_px / PREV(avg_px) > 1.02", "dip": "avg_px / PREV(avg_px) < 0.98", "pause": "abs(avg_px / PREV(avg_px) - 1) < 0.02"}
+MEASURES = "FIRST(dip.avg_px) AS px_began, LAST(dip.avg_px) AS px_lowest, LAST(rise.avg_px) AS px_ended, FIRST(dip.window_start) AS began, LAST(dip.window_start) AS lowest, LAST(rise.window_start) AS ended"
 
 
 @query(f"""WITH RECURSIVE {TAPE}, bars AS (SELECT symbol, ts // {6 * HOUR} * {6 * HOUR} AS window_start, round(avg(px), 8) AS avg_px FROM tape GROUP BY ALL),
     steps AS (SELECT *, row_number() OVER o AS i, avg_px / lag(avg_px) OVER o AS r FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY window_start)),
-    labels AS (SELECT *, CASE WHEN r < 0.98 THEN 'd' WHEN r > 0.98 AND r < 1.02 THEN 't' WHEN r > 1.02 THEN 'u' ELSE 'o' END AS c FROM steps),
+    labels AS (SELECT *, CASE WHEN r < 0.98 THEN 'd' WHEN abs(r - 1) < 0.02 THEN 't' WHEN r > 1.02 THEN 'u' ELSE 'o' END AS c FROM steps),
     texts AS (SELECT symbol, string_agg(c, '' ORDER BY i) AS s FROM labels GROUP BY symbol),
     found AS (SELECT symbol, s, 0 AS before, '' AS gap, '' AS hit, 0 AS k FROM texts UNION ALL
         SELECT symbol, s[length(gap) + length(hit) + 1:], before + length(gap) + length(hit), g, m, k + 1 FROM (
             SELECT symbol, s, before, gap, hit, k, regexp_extract(s[length(gap) + length(hit) + 1:], '^(.*?)(.d{{2,6}}t?u{{1,6}})', 1) AS g, regexp_extract(s[length(gap) + length(hit) + 1:], '^(.*?)(.d{{2,6}}t?u{{1,6}})', 2) AS m FROM found) WHERE m <> ''),
     spans AS (SELECT symbol, before + length(gap) + 2 AS d1, before + length(gap) + 1 + length(regexp_extract(hit, '^.(d+)', 1)) AS d2, before + length(gap) + length(hit) AS u2 FROM found WHERE k > 0)
-    SELECT symbol, a.window_start AS from_ts, b.window_start AS trough_ts, c.window_start AS to_ts, a.avg_px AS start_px, b.avg_px AS trough_px, c.avg_px AS end_px
+    SELECT symbol, a.window_start AS began, b.window_start AS lowest, c.window_start AS ended, a.avg_px AS px_began, b.avg_px AS px_lowest, c.avg_px AS px_ended
     FROM spans JOIN steps a USING (symbol) JOIN steps b USING (symbol) JOIN steps c USING (symbol) WHERE a.i = d1 AND b.i = d2 AND c.i = u2""")
 def reversal_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = W.aggregate(tape(spark, sf_dir), W.tumble(6 * HOUR), ["symbol"], [W.Agg("avg_px", "avg", "px")])
@@ -255,4 +263,4 @@ def open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tape(spark, sf_dir).groupBy("symbol", floor_to("ts", HOUR).alias("window_start")).agg(F.min_by("px", order).alias("open"), F.max_by("px", order).alias("close"))
 
 
-from . import live  # noqa: E402, F401  the queries that run as streams or scripts
+from . import live, scripts  # noqa: E402, F401  the queries that run as streams or scripts

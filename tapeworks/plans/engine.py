@@ -16,13 +16,16 @@ from ..operators.lateness import WATERMARK, row_on_time
 from ..sources.readers import read
 from ..sources.writers import fitted, start, write
 from ..streaming.feed import folder
+from ..streaming.progress import summary
 from . import ddl
 from .rewrite import match_query, spark_sql
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, stream: bool = False, checkpoints: str | None = None) -> None:
-        self.spark, self.stream, self.checkpoints = spark, stream, checkpoints
+    def __init__(self, spark: SparkSession, stream: bool = False, checkpoints: str | None = None, interval_ms: int | None = None) -> None:
+        """``interval_ms``: streams go on, with a batch and so a checkpoint this often;
+        without it they take what is there and stop."""
+        self.spark, self.stream, self.checkpoints, self.interval_ms = spark, stream, checkpoints, interval_ms
         self.tables: dict[str, TableDef] = {}
         self.collected: dict[str, DataFrame] = {}
         self.queries: list[StreamingQuery] = []
@@ -82,7 +85,7 @@ class Engine:
         matched = match_query(sql, self.table)
         if matched is not None:
             return matched
-        for name in {t.lower() for t in ddl.tokens(sql)} & set(self.tables):
+        for name in ddl.sources(sql) & set(self.tables):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(spark_sql(sql, self._late, self._streams, self._columns))
 
@@ -97,7 +100,7 @@ class Engine:
                 query = fitted(df, target).writeStream.format("memory").queryName(target.name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
                 self.queries.append(query)
             else:
-                self.queries.append(start(df, target, checkpoint))
+                self.queries.append(start(df, target, checkpoint, self.interval_ms is None, self.interval_ms))
         elif target.connector == "collect":
             self.collected[target.name] = fitted(df, target)
         else:
@@ -114,6 +117,10 @@ class Engine:
         for q in self.queries:
             q.awaitTermination()
 
+    def progress(self) -> list[dict]:
+        """Of every stream its rows so far, rates, watermark, state and last batch."""
+        return [summary(q) for q in self.queries]
+
 
 def punctual(df: DataFrame, ts: str) -> DataFrame:
     """Rows that were not behind the watermark when they arrived."""

@@ -162,8 +162,8 @@ def sql_scene_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["volume_leaders"])
 def sql_scene_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _script(spark, sf_dir, """SELECT wstart, symbol, vol FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY wstart ORDER BY vol DESC, symbol ASC) AS rn FROM (
-        SELECT symbol, SUM(qty) AS vol, window_start AS wstart FROM tape GROUP BY HOP(ts, INTERVAL '6' HOUR, INTERVAL '1' HOUR), symbol) AS w) AS r WHERE rn <= 3""")
+    return _script(spark, sf_dir, """SELECT ranked.wstart, ranked.symbol, ranked.vol FROM (SELECT sums.*, ROW_NUMBER() OVER (PARTITION BY sums.wstart ORDER BY sums.vol DESC, sums.symbol) AS place FROM (
+        SELECT window_start AS wstart, symbol, SUM(qty) AS vol FROM tape GROUP BY symbol, HOP(ts, INTERVAL '6' HOUR, INTERVAL '1' HOUR)) AS sums) AS ranked WHERE ranked.place < 4""")
 
 
 @query(f"WITH {LATE} {_board('late', 'WHERE wm IS NULL OR w > wm')}")

@@ -15,10 +15,10 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def tape():
+def tape(spark):
     from tapeworks.tape import generate
 
-    return generate(scale=0.25)
+    return generate(spark, scale=0.25)
 
 
 @pytest.fixture(scope="session")
@@ -30,9 +30,10 @@ def tape_dir(tape, tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def trades(spark, tape):
-    return spark.createDataFrame(tape.trades.reset_index(names="arrival_seq")).cache()
+    rows = tape.trades.orderBy("arrival_ms", "trade_id").toPandas()
+    return spark.createDataFrame(rows.reset_index(names="arrival_seq")).cache()
 
 
 @pytest.fixture(scope="session")
-def quotes(spark, tape):
-    return spark.createDataFrame(tape.quotes).cache()
+def quotes(tape):
+    return tape.quotes.cache()

@@ -38,7 +38,7 @@ def punctual(some, tape):
 
 
 def live(spark, df, tmp_path, span=60_000, lag_ms=3_000, marker=True, name="in"):
-    end = spark.createDataFrame(T.end_markers(60, 4)).withColumn("arrival_ms", F.col("ts")).withColumn("arrival_seq", F.lit(10**9).cast("long"))
+    end = T.end_markers(spark, 60, 4).withColumn("arrival_ms", F.col("ts")).withColumn("arrival_seq", F.lit(10**9).cast("long"))
     feed.chunked(df, "arrival_ms", span, str(tmp_path / name), end if marker else None)
     return feed.stream(spark, str(tmp_path / name), df.schema, lag_ms=lag_ms)
 

@@ -36,19 +36,27 @@ def test_durations_and_declarations():
         TableDef("t", StructType().add("a", LongType()), {"event_time_column": "b"})
 
 
-def test_tape_is_deterministic_and_well_formed(tape):
-    again = generate(scale=0.25)
-    assert again.trades.equals(tape.trades) and again.quotes.equals(tape.quotes)
-    assert not generate(seed=7, scale=0.05).trades.equals(generate(seed=8, scale=0.05).trades)
-    ordinary = tape.trades[~tape.trades.trade_id.isin(tape.manifest["counts"]["late_trade_ids"])]
-    assert (ordinary.arrival_ms - ordinary.ts).max() <= 2_800
-    assert generate(symbols=2, minutes=3, scale=0.1).manifest["incidents"]["wrong_print"] is None
+def test_tape_is_deterministic_and_well_formed(spark, tape, trades):
+    again = generate(spark, scale=0.25)
+    assert again.manifest == tape.manifest
+    assert again.trades.repartition(3).exceptAll(tape.trades).isEmpty() and again.quotes.exceptAll(tape.quotes).isEmpty()
+    few = [generate(spark, seed=s, symbols=3, minutes=4, scale=0.05) for s in (7, 8)]
+    assert not few[0].trades.exceptAll(few[1].trades).isEmpty() and few[0].manifest["incidents"]["wrong_print"] is None
+    ordinary = trades.where(~F.col("trade_id").isin(tape.manifest["counts"]["late_trade_ids"]))
+    delay = ordinary.agg(F.min(F.col("arrival_ms") - F.col("ts")), F.max(F.col("arrival_ms") - F.col("ts"))).first()
+    assert 0 <= delay[0] and delay[1] <= 2_800
+    late = trades.where(F.col("trade_id").isin(tape.manifest["counts"]["late_trade_ids"]))
+    wait = late.select((F.col("arrival_ms") - F.col("ts") + F.col("ts") % MINUTE - MINUTE).alias("w"))
+    assert wait.count() == 25 and wait.where("w NOT BETWEEN 30000 AND 45000").isEmpty()
+    assert trades.select("trade_id").distinct().count() == tape.manifest["counts"]["trades"] == trades.count()
+    assert tape.quotes.count() == tape.manifest["counts"]["quotes"]
+    assert tape.symbols.select("symbol").distinct().count() == 12 and tape.quotes.where("bid >= ask").isEmpty()
 
 
 def test_bars_lateness_and_wrong_print(tape, trades, late_trades):
     sums = [W.aggregate(late_trades, W.tumble(MINUTE), ["symbol"], BARS, lateness_ms=ms).agg(F.count("*"), F.sum("n")).first() for ms in (0, 60_000)]
     assert [s[0] for s in sums] == [720, 720]
-    assert sums[1][1] == len(tape.trades) and sums[1][1] - sums[0][1] == 25
+    assert sums[1][1] == trades.count() and sums[1][1] - sums[0][1] == 25
     wrong = tape.manifest["incidents"]["wrong_print"]
     bar = W.aggregate(trades, W.tumble(MINUTE), ["symbol"], BARS).where(f"symbol = '{wrong['symbol']}' AND window_start = {wrong['ts'] - wrong['ts'] % MINUTE}").collect()
     assert len(bar) == 1 and bar[0].hi == pytest.approx(wrong["px"], abs=1e-6)
@@ -124,10 +132,10 @@ def test_interval_join_and_spread(spark, tape, trades, quotes):
         assert rows(out, "l_ts") == [(0,), (300,)]
 
 
-def test_running_stats(tape, late_trades):
+def test_running_stats(trades, late_trades):
     punctual = late_trades.where(lateness.row_on_time())
     out = analytics.running_stats(punctual, "symbol", "ts", "trade_id", "px").cache()
-    assert out.count() == len(tape.trades) - 25
+    assert out.count() == trades.count() - 25
     last = out.groupBy("symbol").agg(F.max_by("ma100", F.struct("ts", "trade_id")).alias("m"), F.min("px").alias("lo"), F.max("px").alias("hi")).collect()
     assert all(r.lo <= r.m <= r.hi for r in last)
     assert out.where("n_so_far = 1 AND prev_px IS NOT NULL").isEmpty()
