@@ -2,7 +2,7 @@
 
 Texts become bags of hashed words and word pairs. Two generative models over the
 ``BUCKETS`` buckets are counted: the target from at most ``GOOD_DOCS`` documents
-labelled good (chosen by a hash of the id), the raw model from all documents. A text's log weight is the sum of the log ratios of its
+labelled good (those with the smallest hash of their id), the raw model from all documents. A text's log weight is the sum of the log ratios of its
 features; adding Gumbel noise to it and taking the ``k`` largest samples ``k``
 documents without replacement in proportion to their weights. The noise comes
 from a hash of id and text, so a run can be repeated.
@@ -15,7 +15,9 @@ Defined results
 * null or wordless text: no features, log weight 0;
 * no good document: both models are equal and the noise alone decides;
 * null ids pass (and are never labelled); keys equal to the k-th are all kept,
-  so repeated rows share their fate; empty table: no rows.
+  so repeated rows share their fate; empty table: no rows;
+* texts of any length count whole; the result has the id and its own columns
+  alone, whatever else the input has.
 """
 
 from __future__ import annotations
@@ -138,8 +140,7 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A document with several labels is judged by the worst.
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = labels.where("doc_id is not null and quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("good"))
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    some = good.where(chance < GOOD_DOCS / max(1, good.count())).limit(GOOD_DOCS)
+    some = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(GOOD_DOCS)
     ratios = learn(docs.join(F.broadcast(some), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")))
     share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     keys = common.stored(weighed(docs, ratios))

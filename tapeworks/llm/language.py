@@ -17,7 +17,9 @@ Defined results
   if there is nothing to learn from;
 * a null id is not held out, and is not learned from; null languages are not
   learned; equal cosines: the first language in string order;
-* empty table: no rows; repeated rows count as often as they occur.
+* empty table: no rows; repeated rows count as often as they occur;
+* texts of any length count whole; input columns named ``lang_pred`` and ``score``
+  give way to the results, other extra columns pass.
 """
 
 from __future__ import annotations

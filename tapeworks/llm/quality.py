@@ -4,7 +4,8 @@ Every line of a text becomes a feature vector (length, symbols, sentence marks,
 repeats, position); Viterbi decoding of a linear-chain CRF marks each line as
 content or boilerplate, and a text is kept if lines of content hold at least
 ``MIN_SHARE`` of its words. The CRF is trained on ``SAMPLE_DOCS`` labelled
-documents at most (those with the smallest hash of their id): lines of documents
+documents at most (those with the smallest hash of their id, and up to
+``SAMPLE_CHARS`` characters, so the sample is a few hundred MB at the very most): lines of documents
 of quality 1 are content, of quality 0 boilerplate. Statistics and labels of a
 text depend on that text and the model alone, so the work is one pass without a
 shuffle; only the bounded sample reaches the driver.
@@ -13,7 +14,10 @@ Defined results
 * null text: no words, all counts 0, ``base_failed`` true, not kept; a text
   without words likewise; null ids pass; repeated rows are judged each;
 * without labelled documents of both kinds every line counts as content, so the
-  base rules alone decide; empty table: no rows.
+  base rules alone decide; empty table: no rows;
+* texts and lines of any length are judged whole; equal scores in decoding go to
+  content; input columns with the names of the results give way to them, other extra
+  columns pass.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common, crf
 
 #: Bound on the labelled documents that the CRF is fitted on.
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 200_000
 MIN_SHARE = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -119,7 +123,7 @@ def features(lines: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> crf.Chain | None:
     """The CRF of a bounded sample of labelled documents."""
     some = labels.where("quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(sample_docs)
-    rows = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    rows = (docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id")
         .select("quality", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("at")).orderBy("at", "text").limit(sample_docs).toArrow().to_pydict())
     kinds = [CONTENT if q == 1 else BOILERPLATE for q in rows["quality"]]
     lines = [worded_lines(t) for t in rows["text"]]

@@ -58,3 +58,40 @@ def test_the_bundle_is_the_sum_of_bound_letters():
     kinds, counts = np.unique(grams, return_counts=True)
     assert (language.Bundler().bundle(kinds, counts) == want).all()
     assert (a[3] == np.roll(c[3], 2)).all()
+
+
+def test_predictions_by_brute_force(spark):
+    """Bundles by plain loops over letters, and cosines of them."""
+    import numpy as np
+
+    rows = texts(40) + [(500, "Ñandú, über-ÇA! 12 x", "cc"), (501, "é", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prototypes = language.learn(df)
+    places = language.letter_vectors().astype(np.int64)
+
+    def bundle(text):
+        kinds, out = [0], np.zeros(language.DIMENSIONS, np.int64)
+        for c in [*text, " "]:
+            k = int(language.letter_classes()[ord(c)])
+            if k or kinds[-1]:
+                kinds.append(k)
+        for k in zip(kinds, kinds[1:], kinds[2:]):
+            out += places[0][k[0]] * places[1][k[1]] * places[2][k[2]]
+        return out
+
+    total = {lang: sum(bundle(t) for _, t, x in rows if x == lang) for lang in SYLLABLES}
+    assert langs == sorted(total)
+    cosine = lambda a, b: float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    for i, lang in enumerate(langs):
+        assert abs(cosine(prototypes[i], total[lang]) - 1) < 1e-9
+    for r in language.identify(df, (langs, prototypes)).collect():
+        every = [cosine(total[x], bundle(r.text)) for x in langs]
+        assert r.lang_pred == langs[int(np.argmax(every))] and abs(r.score - max(0.0, max(every))) < 1e-5
+
+
+def test_ties_go_to_the_first_language_and_long_texts_are_whole(spark):
+    rows = [(1, "kato mishi", "bb"), (2, "kato mishi", "aa")]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = "verung " * 150_000 + "kato mishi " * 20
+    got = language.identify(spark.createDataFrame([(1, "kato"), (2, long)], "doc_id long, text string"), model).collect()
+    assert got[0].lang_pred == got[1].lang_pred == "aa" and 0 <= got[1].score < got[0].score
