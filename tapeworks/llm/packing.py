@@ -29,7 +29,12 @@ neighbours, the next unused remainders follow in order, so no window waits for o
 Defined results
 * null or empty text: just the end id; null ids and repeated rows are packed
   each; empty table: no rows; sequence ids are unique over the table, and depend
-  on how the table is dealt over its partitions.
+  on how the table is dealt over its partitions;
+* equal BM25 scores: the remainder that comes first in its shard, whose order is
+  that of (id, tokens of the document, ids);
+* texts of any length are packed whole: a full window of a long text fills its
+  sequence alone, so there is nothing to retrieve for it;
+* the result has the columns of ``PIECE`` alone, whatever else the input has.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,8 @@ from . import common
 LENGTH = 1024
 SHARD_DOCS = 3000
 K1, B = 1.2, 0.75
+#: Neighbours that are sorted first; a window rarely takes more.
+FEW = 16
 #: Numbers that a remainder's weights are projected to, and how many are sampled.
 WIDTH, SAMPLE = 64, 20_000
 TERMS = 1 << 16
@@ -135,13 +143,13 @@ def _cut(file: str, length: int, end_id: int):
                 for at in range(0, n - n % length, length):
                     rows.append((doc, at, length, crc(ids[at : at + length]), n, window_id(part, sequence), 0))
                     rest.append(None)
-                    df[np.unique(ids[at : at + length])] += 1
+                    df[_terms(ids[at : at + length])] += 1
                     sequence += 1
                 if n % length:
                     at = n - n % length
                     rows.append((doc, at, n - at, None, n, None, None))
                     rest.append(ids[at:].astype("<u2").tobytes())
-                    df[np.unique(ids[at:])] += 1
+                    df[_terms(ids[at:])] += 1
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
             if rows:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rest, pa.binary())], names=[*PIECE, "ids"])
@@ -152,6 +160,11 @@ def _cut(file: str, length: int, end_id: int):
     return cut
 
 
+def _terms(ids: np.ndarray) -> np.ndarray:
+    """Distinct ids; with counts numpy sorts them, which is faster than its hashing."""
+    return np.unique(ids, return_counts=True)[0]
+
+
 class Statistics:
     """Weights of terms, from all passages that a term may stand in."""
 
@@ -257,19 +270,24 @@ class Index:
         keep = (np.bincount(terms, minlength=TERMS)[terms] > 1) & (weight > 0)
         order = np.flatnonzero(keep)
         order = order[np.argsort(terms[order], kind="stable")]
-        self.owner, self.weight = owner[order], weight[order]
+        self.owner, self.weight = owner[order], weight[order].astype(np.float64)
         self.bounds = np.searchsorted(terms[order], np.arange(TERMS + 1))
         self.query = np.split(terms[keep], np.cumsum(np.bincount(owner[keep], minlength=n))[:-1])
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a query term, best first."""
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share a query term, best first, smaller numbers
+        first among equals. The few best are sorted before the others."""
         spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.query[seed]]
         if not spans:
-            return np.zeros(0, np.int64)
+            return
         scores = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.used))
         scores[self.used] = 0
         docs = np.flatnonzero(scores)
-        return docs[np.argsort(-scores[docs], kind="stable")]
+        scores = scores[docs]
+        least = np.partition(scores, len(scores) - FEW)[len(scores) - FEW] if len(scores) > FEW else 0.0
+        for some in (scores >= least, scores < least):
+            own = docs[some]
+            yield from own[np.argsort(-scores[some], kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], length: int = LENGTH, stats: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
@@ -282,18 +300,15 @@ def pack_shard(docs: list[np.ndarray], length: int = LENGTH, stats: Statistics |
     window: list[tuple[int, int, int]] = []
     for seed in range(len(docs)):
         while not index.used[seed]:
-            window, room, queue = [], length, [seed]
+            window, room, queue = [], length, chain([seed], index.neighbours(seed))
             while room:
-                if not queue:
-                    if len(window) == 1:
-                        queue = list(index.neighbours(seed)[::-1])
-                    if not queue:  # none shares a term: the next in order
-                        while after < len(docs) and index.used[after]:
-                            after += 1
-                        if after == len(docs):
-                            break
-                        queue = [after]
-                doc = int(queue.pop())
+                doc = next(queue, None)
+                if doc is None:  # none shares a term: the next in order
+                    while after < len(docs) and index.used[after]:
+                        after += 1
+                    if after == len(docs):
+                        break
+                    doc = after
                 if index.used[doc]:
                     continue
                 size = int(min(room, sizes[doc] - begin[doc]))

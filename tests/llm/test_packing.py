@@ -117,3 +117,42 @@ def test_tree_keeps_neighbours_and_splits_copies(spark):
     assert len(np.unique(packing.Tree(points[:1].repeat(50, 0), 8).leaves(points))) == 1
     copies = packing.packed(spark.createDataFrame([(i, "the same words") for i in range(500)], "doc_id long, text string"), FILE, shard_docs=10).collect()
     assert sorted(r.doc_id for r in copies if r.start == 0) == list(range(500)) and len({r.sequence_id for r in copies}) >= 25
+
+
+def test_neighbours_by_brute_force():
+    """BM25 of every pair by its formula; equal scores in order of number."""
+    import math
+
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 90, int(rng.integers(1, 60))).astype("<u2") for _ in range(70)] + [np.array([7, 8, 9], "<u2")] * 4
+    stats, n = packing.Statistics.of(docs), len(docs)
+    index = packing.Index(docs, stats)
+    index.used[[5, 9]] = True
+    df = {t: sum(t in d for d in docs) for t in range(90)}
+    mean = sum(map(len, docs)) / n
+    for seed in (0, 3, 20, 70, 73):
+        want = {}
+        for j, d in enumerate(docs):
+            score = 0.0
+            for t in set(docs[seed].tolist()):
+                tf, idf = int((d == t).sum()), math.log((n - df[t] + 0.5) / (df[t] + 0.5)) if df[t] else 0.0
+                if tf and idf > 0 and df[t] > 1:
+                    score += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+            if score > 0 and j not in (5, 9):
+                want[j] = score
+        got = list(index.neighbours(seed))
+        assert sorted(got) == sorted(want)
+        assert all(want[a] > want[b] - 1e-5 for a, b in zip(got, got[1:]))
+    copies = [j for j in index.neighbours(70) if j >= 70]
+    assert copies == [70, 71, 72, 73]
+
+
+def test_sequence_ids_fit():
+    top = 2**63
+    assert 0 <= packing.window_id(2**26 - 1, 2**36 - 1) < packing.shard_sequence_id(2**46 - 1, 2**16 - 1) < top
+    assert packing.window_id(3, 5) % 2 == 0 and packing.shard_sequence_id(3, 5) % 2 == 1 and packing.shard_sequence_id(3, 2**16 - 1) < packing.shard_sequence_id(4, 0)
+
+
+def test_clashing_columns_are_left_out(spark):
+    rows = spark.createDataFrame([(1, "some words", 5, "x", 9)], "doc_id long, text string, start long, ids string, leaf long")
+    assert packing.packed(rows, FILE).columns == list(packing.PIECE)
