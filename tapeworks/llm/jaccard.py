@@ -379,13 +379,16 @@ def _candidates(signed: DataFrame, work: str) -> DataFrame:
     total = signed.agg(F.coalesce(F.sum(F.aggregate(F.slice("cuts", 1, 1), F.lit(0), lambda a, x: a + x)), F.lit(0))).first()[0]
     least = max(LEAST_SEEN, total / SAMPLED * HOT_SIGNS)
     hot = common.stored(rows.where(sampled).groupBy("sign").agg(F.count("*").alias("n")).where(F.col("n") > least).select("sign"), f"{work}/hot_signs")
-    met = rows.join(F.broadcast(hot), "sign", "left_semi").groupBy("sign").agg(F.count("*").alias("n"), F.min("set_key").alias("first"))
+    warm = rows.join(F.broadcast(hot), "sign", "left_semi").distinct()
+    met = warm.groupBy("sign").agg(F.count("*").alias("n"), F.min("set_key").alias("first"))
     met = common.stored(met, f"{work}/hot_counts")
     alike = Window.partitionBy("sign")
-    cold = rows.join(F.broadcast(hot), "sign", "left_anti").withColumns({"n": F.count("*").over(alike), "first": F.min("set_key").over(alike)})
-    rows = cold.unionByName(rows.join(F.broadcast(met), "sign")).where("n > 1")
+    # A set of many tasks comes from each of them; distinct() and the window need no
+    # shuffle of their own.
+    cold = rows.join(F.broadcast(hot), "sign", "left_anti").repartition("sign").distinct().withColumns({"n": F.count("*").over(alike), "first": F.min("set_key").over(alike)})
+    rows = cold.unionByName(warm.join(F.broadcast(met), "sign")).where("n > 1")
     frequent = Window.partitionBy("set_key", "part").orderBy(F.desc("n"), F.desc("sign"))
-    return rows.withColumn("rank", F.dense_rank().over(frequent)).where("rank > spare").select("set_key", "sign", "first")
+    return rows.withColumn("rank", F.row_number().over(frequent)).where("rank > spare").select("set_key", "sign", "first")
 
 
 def _labels(base: DataFrame, known: DataFrame, shared: DataFrame, size: int, percent: int, work: str) -> DataFrame:
@@ -394,7 +397,7 @@ def _labels(base: DataFrame, known: DataFrame, shared: DataFrame, size: int, per
     joined = lambda edges: components(edges, f"{work}/{uuid.uuid4().hex}")
     groups = joined(shared.where("set_key != first").select(F.col("set_key").alias("a"), F.col("first").alias("b")))
     nodes = (known.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row_key", "check", "n")).alias("x"))
-        .join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("grp")), "set_key").select("set_key", "x.*", "grp"))
+        .join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("grp")).hint("merge"), "set_key").select("set_key", "x.*", "grp"))
     nodes = keep(nodes, "nodes")
     pieces = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("long").alias("pieces")
     part = F.xxhash64("grp", F.pmod(F.xxhash64("set_key"), F.col("pieces")))

@@ -100,6 +100,18 @@ def test_hot_signatures(documents, monkeypatch):
     assert result(jaccard.linked(documents(rows))) == brute(rows)
 
 
+def test_a_set_of_many_tasks_counts_once(spark, documents):
+    """Every task gives the signatures of a copy; each is kept once."""
+    rng = random.Random(7)
+    base = [f"c{i}" for i in range(120)]
+    texts = [" ".join(base), " ".join([*base[:60], "x", *base[61:]]), *(" ".join(rng.choices(base, k=80)) for _ in range(3))]
+    df = documents([(i, t) for i, t in enumerate(texts * 12)]).repartition(9).selectExpr("doc_id AS id", "doc_id AS row_key", "cast(text AS binary) AS text")
+    signed = jaccard.common.stored(df.mapInArrow(jaccard._describe(4, 85), jaccard._SIGNED))
+    assert signed.where("signs IS NOT NULL").count() > len(texts)
+    shared = jaccard._candidates(signed, jaccard.common.shared_dir(spark))
+    assert shared.count() == shared.select("set_key", "sign").distinct().count() > 0
+
+
 def test_equal_keys_of_different_sets(documents, monkeypatch):
     """Only a few keys are left, so most are shared by different sets."""
     rows = corpus(6, 40)
