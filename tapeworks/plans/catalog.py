@@ -154,6 +154,13 @@ def running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(analytics.running_stats(rows, "symbol", "ts", "trade_id", "px"), "ma100")
 
 
+@query(f"WITH {TAPE} {STATS.format('tape')}")
+def running_stats_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan for hot keys: no window holds a whole key."""
+    rows = tape(spark, sf_dir).select("trade_id", "ts", "symbol", "px")
+    return _rounded(analytics.running_stats_in_blocks(rows, "symbol", "ts", "trade_id", "px", span=6 * HOUR, block=10_000), "ma100")
+
+
 @query(f"WITH {LATE} {STATS.format('(SELECT * FROM late WHERE wm IS NULL OR ts > wm)')}")
 def running_stats_punctual(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = late_tape(spark, sf_dir).where(row_on_time()).select("trade_id", "ts", "symbol", "px")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.time import event_time
 from ..operators.windows import EVENT_TIME
+from .progress import figures
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that the executors see too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,8 +58,8 @@ def stream(spark: SparkSession, path: str, schema, ts: str | None = "ts", lag_ms
     return df.withColumn(EVENT_TIME, event_time(ts)).withWatermark(EVENT_TIME, f"{lag_ms} milliseconds") if ts else df
 
 
-def run_once(df: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drain a stream into Parquet and read it."""
+def run_once(df: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None, reports: list[dict] | None = None) -> DataFrame:
+    """Drain a stream into Parquet and read it; ``reports`` gets each batch's figures."""
     spark = df.sparkSession
     checkpoint = checkpoint or f"{path.rstrip('/')}_checkpoint"
     out = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -62,5 +68,7 @@ def run_once(df: DataFrame, path: str, mode: str = "append", checkpoint: str | N
     else:
         query = out.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
+    if reports is not None:
+        reports += [figures(json.loads(p.json)) for p in query.recentProgress]
     return spark.read.schema(df.schema).parquet(path)
 

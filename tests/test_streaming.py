@@ -83,8 +83,11 @@ def test_interval_join(spark, punctual, quotes, tmp_path):
     feed.chunked(q, "arrival_ms", 120_000, str(tmp_path / "q"))
     left, right = feed.stream(spark, str(tmp_path / "t"), t.schema), feed.stream(spark, str(tmp_path / "q"), q.schema)
     pairs = joins.stream_interval_join(left, right, "symbol", 300, names=("t", "q")).select("t_trade_id", "q_ts", "q_bid")
-    got = feed.run_once(pairs, str(tmp_path / "out"))
+    reports = []
+    got = feed.run_once(pairs, str(tmp_path / "out"), reports=reports)
     want = joins.interval_join(t, q, "symbol", 300, names=("t", "q"))
+    # Rows that no partner can follow any more have left the state.
+    assert max(r["state_rows"] for r in reports) < 0.8 * (t.count() + q.count()) and reports[-1]["watermark"] > "2026-01-05T09:0"
     assert rows(got, "t_trade_id", "q_ts") == rows(want, "t_trade_id", "q_ts")
 
 
@@ -99,10 +102,10 @@ def test_running_stats_and_pattern(spark, punctual, tmp_path):
         w = want[r.id]
         assert (r.n_so_far, r.prev) == (w.n_so_far, w.prev_px) and r.mean == pytest.approx(w.ma100)
 
-    steps = {"d": lambda v, p: p is not None and v < p, "u": lambda v, p: p is not None and v > p}
+    steps = {"f": lambda v, p: p is not None and v < p, "r": lambda v, p: p is not None and v > p}
     stream = live(spark, few, tmp_path, span=120_000, name="again")
-    found = feed.run_once(stateful.ordered(stream, "symbol", "ts", "trade_id", "px", stateful.Matcher("s d{3,8} u{2,8}", steps)), str(tmp_path / "matches"))
-    first = match.match_recognize(few.withColumn("o", F.struct("ts", "trade_id")), ["symbol"], "o", [("FIRST", "s", "ts", "a"), ("LAST", "u", "ts", "b")], "s d{3,8} u{2,8}", {"d": "px < PREV(px)", "u": "px > PREV(px)"})
+    found = feed.run_once(stateful.ordered(stream, "symbol", "ts", "trade_id", "px", stateful.Matcher("x f{2,7} r{2,6}", steps)), str(tmp_path / "matches"))
+    first = match.match_recognize(few.withColumn("o", F.struct("ts", "trade_id")), ["symbol"], "o", [("FIRST", "x", "ts", "a"), ("LAST", "r", "ts", "b")], "x f{2,7} r{2,6}", {"f": "px < PREV(px)", "r": "px > PREV(px)"})
     assert sorted((r.starts[0], r.ends[2]) for r in found.collect()) == rows(first, "a", "b") != []
 
 

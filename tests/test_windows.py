@@ -142,19 +142,22 @@ def test_running_stats(trades, late_trades):
 
 
 def _fits(spark, labels, pattern, define=None, name="a"):
+    """Of each match the first and last fall, the pause and the last rise."""
     df = spark.createDataFrame([(name, i, c) for i, c in enumerate(labels)], "k string, i int, c string")
-    define = define or {v: f"c = '{v}'" for v in "dtu"}
-    measures = [("FIRST", "d", "i", "f"), ("LAST", "d", "i", "l"), ("LAST", "u", "i", "e"), ("FIRST", "t", "i", "t")]
-    return [tuple(r)[1:] for r in sorted(match.match_recognize(df, ["k"], "i", measures, pattern, define).collect(), key=lambda r: r.f)]
+    define = define or {v: f"c = '{v}'" for v in "fpr"}
+    measures = [("FIRST", "f", "i", "a"), ("LAST", "f", "i", "b"), ("LAST", "r", "i", "c"), ("FIRST", "p", "i", "d")]
+    return [tuple(r)[1:] for r in sorted(match.match_recognize(df, ["k"], "i", measures, pattern, define).collect(), key=lambda r: r.a)]
 
 
 def test_patterns(spark):
-    assert _fits(spark, "ooodddddtuuuuoo", "s d{3,8} t? u{2,8}") == [(3, 7, 12, 8)]
-    assert _fits(spark, "oddduuodddtuu", "s d{3,8} t? u{2,8}") == [(1, 3, 5, None), (7, 9, 12, 10)]
-    assert _fits(spark, "dduu", "s d{3,8} t? u{2,8}") == []
-    # Overlapping conditions need backtracking: d takes all it can, then gives back.
-    overlap = {"d": "c IN ('d', 'x')", "t": "c = 't'", "u": "c IN ('u', 'x')"}
-    assert _fits(spark, "odxx", "s d+ u{2}", overlap) == [(1, 1, 3, None)]
+    valley = "x f{2,5} p? r{1,3}"
+    assert _fits(spark, "xxffffprrrrx", valley) == [(2, 5, 9, 6)]
+    assert _fits(spark, "xffrxfffprr", valley) == [(1, 2, 3, None), (5, 7, 10, 8)]
+    assert _fits(spark, "frr", valley) == _fits(spark, "", valley) == []
+    assert _fits(spark, "ffffffffr", valley) == [(3, 7, 8, None)]  # the row before may be a fall
+    # Overlapping conditions need backtracking: f takes all it can, then gives back.
+    both = {"f": "c IN ('f', 'y')", "p": "c = 'p'", "r": "c IN ('r', 'y')"}
+    assert _fits(spark, "xfyyy", "x f+ r{3}", both) == [(1, 1, 4, None)]
     with pytest.raises(ValueError):
         match.Pattern.parse("a | b", {})
 
@@ -164,14 +167,14 @@ def test_patterns_over_many_batches_and_partitions(spark):
     import re
 
     rng = random.Random(4)
-    texts = {f"k{j}": "".join(rng.choice("dduutox") for _ in range(rng.choice([1, 40, 700]))) for j in range(6)} | {None: "oddduu" * 30}
+    texts = {f"k{j}": "".join(rng.choice("ffrrpxy") for _ in range(rng.choice([1, 40, 700]))) for j in range(6)} | {None: "xfffrr" * 30}
     df = spark.createDataFrame([(k, i, c) for k, t in texts.items() for i, c in enumerate(t)], "k string, i int, c string").repartition(3)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        for pattern, regex in (("s d{2,6} t? u{1,3}", "(.)(d{2,6})(t?)(u{1,3})"), ("s d+ u{2}", "(.)(d+)()(u{2})"), ("d{1,2}? u*", "(d{1,2}?)()()(u*)")):
-            out = match.match_recognize(df, ["k"], "i", [("FIRST", "d", "i", "f"), ("LAST", "u", "i", "l")], pattern, {v: f"c = '{v}'" for v in "dtu"})
-            group = 2 if pattern[0] == "s" else 1
+        for pattern, regex in (("x f{2,6} p? r{1,3}", "(.)(f{2,6})(p?)(r{1,3})"), ("x f+ r{2}", "(.)(f+)()(r{2})"), ("f{1,2}? r*", "(f{1,2}?)()()(r*)")):
+            out = match.match_recognize(df, ["k"], "i", [("FIRST", "f", "i", "a"), ("LAST", "r", "i", "b")], pattern, {v: f"c = '{v}'" for v in "fpr"})
+            group = 2 if pattern[0] == "x" else 1
             want = {(k, m.start(group), m.end(4) - 1 if m[4] else None) for k, t in texts.items() for m in re.finditer(regex, t)}
             assert {tuple(r) for r in out.collect()} == want and len(want) > 20
     finally:
@@ -192,34 +195,59 @@ def test_watermark_of_several_feeds(spark):
 
 
 def test_equal_to_a_threshold_matches_no_label(spark):
-    df = spark.createDataFrame([("a", i, p) for i, p in enumerate((100.0, 50.0, 25.0, 25.0))], "k string, i int, p double")
-    define = {"d": "p < PREV(p) * 0.5", "u": "p > PREV(p)"}
-    out = match.labelled(df, ["k"], "i", match.Pattern.parse("d u", define)).select("__label").collect()
+    df = spark.createDataFrame([("a", i, p) for i, p in enumerate((80.0, 20.0, 5.0, 5.0))], "k string, i int, p double")
+    define = {"f": "p < PREV(p) * 0.25", "r": "p > PREV(p)"}
+    out = match.labelled(df, ["k"], "i", match.Pattern.parse("f r", define)).select("__label").collect()
     assert {r[0] for r in out} == {"一"}
 
 
-def _ardn(more=()):
-    return [("ARDN", i, 1_000 + i, 100 + 0.2 * (i % 5), i) for i in range(30)] + [("BLKM", 100, 5_000, 50.0, 100), *more]
-
-
-def test_detector_fixture(spark, trades, tape):
-    d = detect.Detector()
-    assert [d.take(100 + 0.2 * (i % 5)) for i in range(30)] == [None] * 30
-    assert d.seen == 30 and 99 < d.average < 101
-    kept = detect.Detector(average=d.average, seen=d.seen)
-    average, deviation = d.take(800)
-    assert deviation > 6 and d.average < 101 and d.seen == 30
-    assert d.take(100.1) is None and d.seen == 31
-    assert kept.take(800) is not None and kept.seen == 30
-    df = spark.createDataFrame(_ardn([("ARDN", 200, 9_000, 800.0, 200), ("ARDN", 201, 9_001, 100.1, 201)]), "symbol string, arrival_seq long, ts long, px double, trade_id long")
-    alerts = detect.spike_alerts(df).collect()
-    assert [(a.symbol, a.trade_id) for a in alerts] == [("ARDN", 200)] and alerts[0].deviation == pytest.approx(deviation)
+def _alerts(prices, threshold, warmup):
+    """Places of alerts by the rule, in plain words: far from the average, once warm."""
+    out, average, seen = [], None, 0
+    for i, px in enumerate(prices):
+        if average is not None and seen >= warmup and abs(px - average) > threshold * average:
+            out.append((i, average))
+        else:
+            average, seen = px if average is None else average * 0.95 + px * 0.05, seen + 1
+    return out
+
+
+def test_detector(spark, trades, tape):
+    rng = random.Random(12)
+    feeds = {k: [rng.uniform(9, 11) * (rng.choice([0.5, 2.0]) if rng.random() < 0.05 else 1) for _ in range(rng.choice([5, 13, 400]))] for k in ("one", "two", "three", "four")}
+    for threshold, warmup in ((0.15, 12), (0.3, 0), (0.6, 40)):
+        want = {(k, i): avg for k, prices in feeds.items() for i, avg in _alerts(prices, threshold, warmup)}
+        for k, prices in feeds.items():  # row by row, and cut anywhere with the state carried on
+            d, cut = detect.Detector(threshold, warmup), rng.randrange(len(prices))
+            for i, px in enumerate(prices):
+                if i == cut:
+                    d = detect.Detector(threshold, warmup, d.average, d.seen)
+                found = d.take(px)
+                assert (found is not None) == ((k, i) in want) and (found is None or found[0] == pytest.approx(want[k, i]))
+            assert d.seen == len(prices) - sum(x == k for x, _ in want)
+        rows_in = [(k, len(prices) - i, 10 * i, px, i) for k, prices in feeds.items() for i, px in enumerate(prices)]
+        df = spark.createDataFrame(rows_in, "symbol string, back long, ts long, px double, trade_id long").withColumn("arrival_seq", -F.col("back")).repartition(5)
+        got = detect.spike_alerts(df, threshold=threshold, warmup=warmup).collect()
+        assert {(r.symbol, r.trade_id) for r in got} == set(want) and len(got) == len(want)
+        assert all(r.ewma == pytest.approx(want[r.symbol, r.trade_id]) and r.deviation == pytest.approx(abs(r.px / r.ewma - 1)) and r.ts == 10 * r.trade_id for r in got)
     zero = spark.createDataFrame([("Z", i, i, 0.0 if i < 20 else 1.0, i) for i in range(21)] + [("Z", 30, 30, None, 30)], "symbol string, arrival_seq long, ts long, px double, trade_id long")
     assert [(a.trade_id, a.deviation) for a in detect.spike_alerts(zero).collect()] == [(20, float("inf"))]
     found = detect.spike_alerts(trades).collect()
     assert [a.trade_id for a in found] == [tape.manifest["incidents"]["wrong_print"]["trade_id"]]
 
 
+def test_running_stats_in_blocks(spark):
+    rng = random.Random(8)
+    rows_in = [(k, rng.randrange(4_000), i, rng.random() if rng.random() > 0.1 else None) for i, k in enumerate(rng.choices("aaab", k=900))]
+    df = spark.createDataFrame(rows_in, "k string, ts long, id long, px double").repartition(4)
+    want = analytics.running_stats(df, "k", "ts", "id", "px", rows=7)
+    for span, block in ((300, 50), (10_000, 7), (1, 900)):
+        got = analytics.running_stats_in_blocks(df, "k", "ts", "id", "px", rows=7, span=span, block=block)
+        assert got.columns == want.columns
+        pick = lambda d: sorted((r.id, r.n_so_far, r.prev_px, None if r.ma7 is None else round(r.ma7, 9)) for r in d.collect())
+        assert pick(got) == pick(want)
+
+
 def test_json_records(spark):
     from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
