@@ -17,17 +17,24 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, least: DataFrame, path: str) -> DataFrame:
+    """``rows`` with the smallest neighbour of their node ``a``. The minima are stored,
+    so both sides come to the join as they are dealt, and adaptive execution can split
+    the rows of a node with very many edges."""
+    return rows.join(common.stored(least, path).hint("merge"), "a")
+
+
+def _large_star(edges: DataFrame, path: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _met(both.where("b > a"), least, path).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, path: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hooked = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hooked.union(least.select("a", F.col("m").alias("b"))).distinct()
+    hooked = _met(down, down.groupBy("a").agg(F.min("b").alias("m")), path)
+    other = hooked.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return other.union(hooked.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, work: str | None = None) -> DataFrame:
@@ -38,13 +45,13 @@ def components(edges: DataFrame, work: str | None = None) -> DataFrame:
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     work = work or common.shared_dir(spark)
     path = f"{work}/0"
-    now = common.stored(_small_star(edges), path)
+    now = common.stored(_small_star(edges, f"{work}/small0"), path)
     seen = state(now)
     for turn in count(1):
         if not seen[0]:
             break
         new_path = f"{work}/{turn}"
-        new = common.stored(_small_star(_large_star(now)), new_path)
+        new = common.stored(_small_star(_large_star(now, f"{work}/large{turn}"), f"{work}/small{turn}"), new_path)
         common.discard(spark, path)
         before, seen, now, path = seen, state(new), new, new_path
         if tuple(seen) == tuple(before):
