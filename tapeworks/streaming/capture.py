@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .feed import folder
+from .feed import folder, in_order
 
 Operator = Callable[[DataFrame], DataFrame]
 
@@ -37,6 +37,7 @@ def run(spark: SparkSession, path: str, schema, operator: Operator, out: str, ch
     """Run an operator over the captured epochs up to ``last``; its emissions go
     to ``out``/epoch=N."""
     epochs = sorted(r[0] for r in listing(spark, path).select("epoch").collect())
+    in_order(spark, path, "epoch=*/*.parquet")  # copies of a capture have other times
     picked = [e for e in epochs if last is None or e <= last]
     paths = "{" + ",".join(f"epoch={e:06d}" for e in picked) + "}"
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{paths}")

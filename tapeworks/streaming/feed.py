@@ -34,22 +34,22 @@ def chunked(df: DataFrame, arrival: str, span: int, path: str, marker: DataFrame
     count = 0 if first is None else int(last - first + 1)
     if count:
         spans.withColumn("part", F.lpad((F.col("part") - first).cast("string"), 9, "0")).repartition("part").sortWithinPartitions("part", arrival).write.partitionBy("part").parquet(path)
-        _in_order(df.sparkSession, path)
+        in_order(df.sparkSession, path, "part=*/*.parquet")
     if marker is not None:
         marker.select(*df.columns).coalesce(1).write.parquet(f"{path}/part={count:09d}")
         count += 1
     return count
 
 
-def _in_order(spark: SparkSession, path: str) -> None:
-    """Streams take files by their time of change, so that follows their names."""
+def in_order(spark: SparkSession, path: str, files: str) -> None:
+    """Streams take files by their time of change; let that follow their names."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = sorted(str(f.getPath()) for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/*.parquet")))
+    found = sorted(str(f.getPath()) for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{files}")))
     now = fs.getFileStatus(at).getModificationTime()
-    for i, f in enumerate(files):  # one a second, the last one now
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), now - 1000 * (len(files) - i), -1)
+    for i, f in enumerate(found):  # a second apart, the last one now
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), now - 1000 * (len(found) - i), -1)
 
 
 def stream(spark: SparkSession, path: str, schema, ts: str | None = "ts", lag_ms: int = 3_000) -> DataFrame:

@@ -60,7 +60,7 @@ def test_late_rows_grace_and_flush(spark, some, tape, tmp_path):
     assert lost > 0
     counted = {}
     for lag in (3_000, 63_000):
-        stream = live(spark, some, tmp_path, span=10_000, lag_ms=lag, name=f"in{lag}")
+        stream = live(spark, some, tmp_path, span=13_000, lag_ms=lag, name=f"in{lag}")
         out = feed.run_once(W.aggregate(stream, W.tumble(60_000), ["symbol"], AGGS), str(tmp_path / f"out{lag}"))
         counted[lag] = out.agg(F.sum("n")).first()[0]
     assert counted[63_000] == some.count() and counted[3_000] == some.count() - lost
@@ -70,7 +70,7 @@ def test_late_rows_grace_and_flush(spark, some, tape, tmp_path):
 
 
 def test_cumulate_recovers_stragglers_in_later_windows(spark, some, tmp_path):
-    stream = live(spark, some, tmp_path, span=10_000)
+    stream = live(spark, some, tmp_path, span=13_000)
     out = feed.run_once(W.aggregate(stream, W.cumulate(60_000, 3_600_000), ["symbol"], AGGS), str(tmp_path / "out"))
     last = out.where(f"window_end = {T.BASE_MS + 30 * 60_000}").agg(F.sum("n")).first()[0]
     assert last is None or last == some.count()
