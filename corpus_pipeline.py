@@ -3,14 +3,23 @@
 Every stage takes (spark, docs, sf_dir) and works on all documents that the one
 before kept; all but the last return the columns of ``docs``, whatever these are.
 
-* language: documents without a language (no letter) go; a null ``lang`` gets the
-  predicted one;
+* language: documents without a language (no letter; a null or empty text) go; a
+  null ``lang`` gets the predicted one;
 * near_duplicates: of each class of linked documents (word shingles of five, a
   Jaccard similarity of 0.8 or more) the one with the smallest doc_id stays (null
-  ids last);
-* decontaminate: documents contaminated with benchmark passages go;
-* secrets: secrets in texts are masked, ``n_chars`` follows; no document goes;
-* pack: documents become pieces of training sequences.
+  ids last; among rows of equal ids the first stored). Texts without a word link
+  with nothing and stay;
+* decontaminate: documents contaminated with benchmark passages go; null and empty
+  texts, and all texts if there is no benchmark item, stay;
+* secrets: secrets in texts are masked, ``n_chars`` follows; no document goes, and a
+  null text stays null;
+* pack: documents become pieces of training sequences; a null or empty text is its
+  end id.
+
+Texts of any length are taken whole. Null ids pass, repeated rows are documents of
+their own (copies of one class). An empty table gives no rows. Columns beside those of
+``documents`` pass whatever their names; only pack leaves them out. Ties inside a
+stage are those of its operator.
 
 ``docs`` must be a stored table, as ``run`` and the driver give it.
 """
@@ -69,7 +78,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     def mask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [secrets.redacted(t, s) if s else t for t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            texts = [secrets.redacted(t, s) if t and s else t for t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=batch.schema.names)
 
     masked = found.mapInArrow(mask, found.schema)
