@@ -55,7 +55,15 @@ def test_windows_agree_with_tables(spark, punctual, tmp_path, win):
     assert got.where("symbol LIKE 'EOS%'").isEmpty()
 
 
-def test_late_rows_grace_and_flush(spark, some, tape, tmp_path):
+@pytest.fixture(scope="module")
+def around_a_straggler(some, tape):
+    """Some minutes around a trade that arrives late; few batches at short spans."""
+    first = some.where(F.col("trade_id").isin(tape.manifest["counts"]["late_trade_ids"])).agg(F.min("ts")).first()[0]
+    return some.where((F.col("ts") >= first - 120_000) & (F.col("ts") < first + 180_000)).cache()
+
+
+def test_late_rows_grace_and_flush(spark, around_a_straggler, some, tape, tmp_path):
+    everything, some = some, around_a_straggler
     lost = some.where(F.col("trade_id").isin(tape.manifest["counts"]["late_trade_ids"])).count()
     assert lost > 0
     counted = {}
@@ -64,12 +72,13 @@ def test_late_rows_grace_and_flush(spark, some, tape, tmp_path):
         out = feed.run_once(W.aggregate(stream, W.tumble(60_000), ["symbol"], AGGS), str(tmp_path / f"out{lag}"))
         counted[lag] = out.agg(F.sum("n")).first()[0]
     assert counted[63_000] == some.count() and counted[3_000] == some.count() - lost
-    stream = live(spark, some.where("symbol = 'TKAZ'"), tmp_path, span=300_000, marker=False, name="open")
+    stream = live(spark, everything.where("symbol = 'TKAZ'"), tmp_path, span=300_000, marker=False, name="open")
     out = feed.run_once(W.aggregate(stream, W.tumble(60_000), ["symbol"], AGGS), str(tmp_path / "open_out"))
     assert out.count() < 20  # nothing closes the last minute
 
 
-def test_cumulate_recovers_stragglers_in_later_windows(spark, some, tmp_path):
+def test_cumulate_recovers_stragglers_in_later_windows(spark, around_a_straggler, tmp_path):
+    some = around_a_straggler
     stream = live(spark, some, tmp_path, span=13_000)
     out = feed.run_once(W.aggregate(stream, W.cumulate(60_000, 3_600_000), ["symbol"], AGGS), str(tmp_path / "out"))
     last = out.where(f"window_end = {T.BASE_MS + 30 * 60_000}").agg(F.sum("n")).first()[0]
