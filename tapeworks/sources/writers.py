@@ -86,7 +86,7 @@ class KeyedTable:
     again.
     """
 
-    BUCKETS = 64
+    BUCKETS = 16
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], spread: list[str] | None = None, order: list[str] | None = None) -> None:
         self.spark, self.path, self.keys, self.spread, self.order = spark, path.rstrip("/"), keys, spread or keys, order
@@ -115,15 +115,25 @@ class KeyedTable:
             return
         if missing := set(self.spread) - set(replace or self.keys):
             raise ValueError(f"rows are spread by {sorted(missing)}")
+        # The batch is read three times; a stream's would be made anew each time.
+        batch = batch.persist()
+        try:
+            self._merge(now, batch, batch_id, replace or self.keys)
+        finally:
+            batch.unpersist()
+
+    def _merge(self, now: dict, batch: DataFrame, batch_id: int, replace: list[str]) -> None:
         bucket = F.pmod(F.xxhash64(*self.spread), F.lit(self.BUCKETS)).cast("int").alias("__bucket")
         touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        if not touched:
+            return
         rows = newest(batch, self.keys, self.order)
         old = self._rows([f for b, f in now["folders"].items() if int(b) in touched])
         if old is not None:
-            rows = old.join(batch.select(*(replace or self.keys)).distinct(), replace or self.keys, "left_anti").unionByName(rows)
+            rows = old.join(batch.select(*replace).distinct(), replace, "left_anti").unionByName(rows)
         folder = f"v{batch_id}-{uuid.uuid4().hex[:8]}"
         # One file for a bucket; rows of a batch are many times fewer than the table's.
-        rows.select("*", bucket).repartition(len(touched) or 1, "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        rows.select("*", bucket).repartition(len(touched), "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         folders = now["folders"] | {str(b): f"{folder}/__bucket={b}" for b in touched}
         gone = [f for f in now["folders"].values() if f not in folders.values()]
         pointer = json.dumps({"batch": batch_id, "folders": folders, "dropped": gone})
