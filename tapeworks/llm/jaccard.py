@@ -411,7 +411,8 @@ def _labels(base: DataFrame, known: DataFrame, shared: DataFrame, size: int, per
     pivots = local.where("hashes is not null and set_key = root").select("grp", "root", "radius", "longest", "hashes")
     sizes = keep(pivots.groupBy("grp").agg(F.count("*").alias("m")), "sizes")
     few = pivots.join(sizes.where(F.col("m").between(2, CHUNK_SETS)), "grp").select(F.col("grp").alias("block"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), *pivots.columns[1:])
-    blocks = few.unionByName(_by_signature(pivots, local, shared, sizes.where(F.col("m") > CHUNK_SETS).select("grp"), keep))
+    large = sizes.where(F.col("m") > CHUNK_SETS).select("grp")
+    blocks = few if large.isEmpty() else few.unionByName(_by_signature(pivots, local, shared, large, keep))
     found = keep(blocks.groupBy("block", "i", "j").applyInArrow(_compare_pivots(percent), "a long, b long, open boolean"), "found")
     edges = own.select(F.col("set_key").alias("a"), F.col("root").alias("b")).union(found.where("not open").select("a", "b"))
     linked_now = joined(edges)

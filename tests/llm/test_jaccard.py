@@ -211,3 +211,20 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_take_no_round_more_than_they_need(spark, monkeypatch, few):
+    written, stored = [], components.common.stored
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    monkeypatch.setattr(components.common, "stored", lambda df, path=None: written.append(path) or stored(df, path))
+    stars = [(i, i % 7) for i in range(7, 300)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i % 7 for i in range(300)}
+    assert len(written) == 2  # the first step alone: its minima and its edges
+    written.clear()
+    path = [(i, i + 1) for i in range(40)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    rounds = {p.rsplit("/", 1)[-1] for p in written} - {"small0"}
+    assert not few or all(name.isdigit() for name in rounds)  # small graphs: one table a round
