@@ -10,8 +10,10 @@ into classes of about the root of their number, and the model predicts the class
 and then the id in it, both log-bilinear. So normalised log-probabilities of every
 token take two batches of matrix products over a few hundred columns each.
 
-Training. Every training document takes part, with every ``STRIDE``-th of its
-positions, so draws grow with the corpus. In each of ``ROUNDS`` rounds the executors
+Training. Every position of every training document is learned from once. A step
+takes ``BATCH`` of them: noise ids are shared by its rows of one class, noise classes by all, so
+scores are small matrix products, and gradients are summed by id before they go
+through the matrices. In each of ``ROUNDS`` rounds the executors
 train on their share of the rows (dealt to the rounds by a hash), from the same
 parameters; these are then averaged row by row, weighted by how often a worker saw
 a word, in a tree of ``FAN`` workers a step. Classes and ids are told apart from noise
@@ -56,8 +58,12 @@ LEAST_OWN, MOST_OWN, TAILS = 254, 16_000, 256
 #: Words whose counts travel with the model.
 COUNTED = 1 << 17
 WIDTH = 16
-ROUNDS, STRIDE, WORKER_TOKENS, FAN = 3, 4, 8_000_000, 64
-BATCH, NOISE, CLASS_NOISE, RATE = 2048, 8, 64, 0.15
+ROUNDS, WORKER_TOKENS, FAN = 3, 8_000_000, 64
+BATCH, LEAST_BATCH, NOISE, CLASS_NOISE, RATE = 8192, 512, 16, 64, 0.15
+#: Batches whose rows are mixed.
+SHUFFLED = 64
+#: Squares that Adagrad starts from, so a few rows of noise move a vector little.
+SQUARES = 20
 #: Rows of parameters in a piece that workers send.
 PIECE = 1024
 #: Positions scored at once.
@@ -128,18 +134,33 @@ class Places(dict):
             self.update(self.table)
 
 
-def sequence(texts: list[list[bytes]], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def placed(texts: list[list[bytes]], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens in a row, and how many each text has."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.fromiter(map(places.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum())), sizes
+
+
+def sequence(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts in a row with two START before each; where tokens stand in
     it; and the first token of each text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.fromiter(map(places.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    at = np.arange(len(flat)) + 2 * np.repeat(np.arange(1, len(texts) + 1), sizes)
-    out = np.zeros(len(flat) + 2 * len(texts), np.int64)
+    at = np.arange(len(flat)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    out = np.zeros(len(flat) + 2 * len(sizes), np.int64)
     out[at] = flat
     return out, at, starts
 
 
+def packed(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Ids of each text as bytes, two an id."""
+    ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(texts), "<u2").astype(np.int64), np.array([len(t) // 2 for t in texts], np.int64)
+
+
 def unigrams(counts: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Share of each class, and of each id in its class."""
     seen = counts + 0.5
@@ -158,16 +179,23 @@ def fresh(counts: np.ndarray, shape: Shape, seed: int = 5) -> np.ndarray:
     return params
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that occur, and for each the sum of the values that go to it."""
-    order = np.argsort(rows, kind="stable")
+def _summed(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` rows the sum of the values that go to it."""
+    order = np.argsort(rows.astype(np.uint16) if count <= 1 << 16 else rows, kind="stable")  # small ones are sorted faster
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[starts], np.add.reduceat(values[order], starts)
+    out = np.zeros((count, values.shape[1]), np.float32)
+    out[rows[starts]] = np.add.reduceat(values[order], starts)
+    return out
 
 
 def _told_apart(score: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-score, -30, 30)))
+    """Logistic function, in place."""
+    np.negative(score, out=score)
+    with np.errstate(over="ignore"):
+        np.exp(score, out=score)
+    score += 1
+    return np.reciprocal(score, out=score)
 
 
 class Trainer:
@@ -175,12 +203,11 @@ class Trainer:
 
     def __init__(self, params: np.ndarray, counts: np.ndarray, shape: Shape, rate: float, seed: int) -> None:
         self.shape, self.rate, self.rng = shape, rate, np.random.default_rng(seed)
-        self.params, self.squares = params.astype(np.float32), np.full(params.shape, 1e-3, np.float32)
+        self.params, self.squares = params.astype(np.float32), np.full(params.shape, SQUARES, np.float32)
         self.weight = np.full(shape.rows, 0.01)
         whole, inside = unigrams(counts, shape)
         self.whole = whole
         self.class_noise, self.word_noise = np.log(whole * CLASS_NOISE).astype(np.float32), np.log(inside * NOISE).astype(np.float32)
-        self.small = np.uint16 if shape.ids < 1 << 16 else np.int64  # sorted faster
         # Draws of each class, made once.
         self.draws = np.empty((shape.classes, 2048), np.int32)
         for c in range(shape.classes):
@@ -190,41 +217,65 @@ class Trainer:
 
     def step(self, before: np.ndarray, last: np.ndarray, word: np.ndarray) -> None:
         shape, n = self.shape, len(word)
+        order = np.argsort(word.astype(np.uint16) if shape.ids <= 1 << 16 else word, kind="stable")
+        before, last, word = before[order], last[order], word[order]
         context, ids, classes, moves = shape.parts(self.params)
-        query = context[before] @ moves[0] + context[last] @ moves[1]
+        query = (context @ moves[0])[before] + (context @ moves[1])[last]
+        grads = np.zeros_like(self.params)
+        to_context, to_ids, to_classes, to_moves = shape.parts(grads)
+        # Noise: classes for the whole batch, ids for its rows of one class.
+        times = self.rng.multinomial(CLASS_NOISE, self.whole)
+        some = np.flatnonzero(times)
+        part = classes[some]
+        pull = query @ part[:, :WIDTH].T
+        pull += part[:, WIDTH] - self.class_noise[some]
+        pull = _told_apart(pull)
+        pull *= -times[some].astype(np.float32)
+        to_query = pull @ part[:, :WIDTH]
+        to_classes[some, :WIDTH], to_classes[some, WIDTH] = pull.T @ query, pull.sum(0)
         own = word // shape.size
-        # Classes: the noise of a batch is shared by its rows.
-        score = _told_apart(query @ classes[:, :WIDTH].T + classes[:, WIDTH] - self.class_noise)
-        pull = -score * self.rng.multinomial(CLASS_NOISE, self.whole).astype(np.float32)
-        pull[np.arange(n), own] += 1 - score[np.arange(n), own]
-        to_query = pull @ classes[:, :WIDTH]
-        to_classes = np.column_stack([pull.T @ query, pull.sum(0)])
-        # Ids: noise from the id's own class.
-        drawn = np.column_stack([word, self.draws[own[:, None], self.rng.integers(0, self.draws.shape[1], (n, NOISE))]])
-        rows = ids[drawn]
-        score = np.einsum("bw,bkw->bk", query, rows[:, :, :WIDTH]) + rows[:, :, WIDTH] - self.word_noise[drawn]
-        pull = -_told_apart(score)
-        pull[:, 0] += 1
-        to_query = (to_query + np.einsum("bk,bkw->bw", pull, rows[:, :, :WIDTH])).astype(np.float32)
-        values = (pull[:, :, None] * np.concatenate([query, np.ones((n, 1), np.float32)], 1)[:, None, :]).reshape(-1, WIDTH + 1)
-        to_context = np.concatenate([to_query @ moves[0].T, to_query @ moves[1].T])
-        to_moves = np.concatenate([context[before].T @ to_query, context[last].T @ to_query])
-        # Rows of parameters that this batch moves.
-        own, grad = _summed(np.concatenate([before, last]).astype(self.small), to_context)
-        self._move(own, grad, slice(0, WIDTH))
-        own, grad = _summed(drawn.reshape(-1).astype(self.small), values)
-        self._move(own.astype(np.int64) + shape.ids, grad, slice(0, WIDTH + 1))
-        self._move(np.arange(2 * shape.ids, 2 * shape.ids + shape.classes), to_classes, slice(0, WIDTH + 1))
-        self._move(np.arange(shape.rows - 2 * WIDTH, shape.rows), to_moves, slice(0, WIDTH))
+        bounds = np.searchsorted(own, np.arange(shape.classes + 1))
+        present = np.flatnonzero(np.diff(bounds))
+        drawn = self.draws[present[:, None], self.rng.integers(0, self.draws.shape[1], (len(present), NOISE))]
+        noise = ids[drawn]
+        vectors = np.ascontiguousarray(noise[:, :, :WIDTH])
+        bias = noise[:, :, WIDTH] - self.word_noise[drawn]
+        cuts = [slice(bounds[c], bounds[c + 1]) for c in present]
+        pull = np.empty((n, NOISE), np.float32)
+        for k, cut in enumerate(cuts):
+            np.matmul(query[cut], vectors[k].T, out=pull[cut])
+            pull[cut] += bias[k]
+        pull = _told_apart(pull)
+        np.negative(pull, out=pull)
+        to_noise = np.empty((len(present), NOISE, WIDTH + 1), np.float32)
+        for k, cut in enumerate(cuts):
+            to_query[cut] += pull[cut] @ vectors[k]
+            np.matmul(pull[cut].T, query[cut], out=to_noise[k, :, :WIDTH])
+            pull[cut].sum(0, out=to_noise[k, :, WIDTH])
+        to_ids += _summed(drawn.reshape(-1), to_noise.reshape(-1, WIDTH + 1), shape.ids)
+        # What came: its class and its id; rows of one id stand together.
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        for table, to_table, at, lo, level in ((classes, to_classes, own, bounds[present], self.class_noise), (ids, to_ids, word, starts, self.word_noise)):
+            mine = table[at]
+            up = np.einsum("bw,bw->b", query, mine[:, :WIDTH])
+            up += mine[:, WIDTH] - level[at]
+            up = 1 - _told_apart(up)
+            to_query += up[:, None] * mine[:, :WIDTH]
+            to_table[at[lo], :WIDTH] += np.add.reduceat(up[:, None] * query, lo)
+            to_table[at[lo], WIDTH] += np.add.reduceat(up, lo)
+        # Contexts and matrices: first summed by id.
+        for move, to_move, rows in ((moves[0], to_moves[0], before), (moves[1], to_moves[1], last)):
+            total = _summed(rows, to_query, shape.ids)
+            to_context += total @ move.T
+            to_move += context.T @ total
+        self.squares += grads * grads
+        grads /= np.sqrt(self.squares)
+        grads *= self.rate
+        self.params += grads
         self.weight[: shape.ids] += np.bincount(last, minlength=shape.ids) + np.bincount(before, minlength=shape.ids)
         self.weight[shape.ids : 2 * shape.ids] += np.bincount(word, minlength=shape.ids)
         self.weight[2 * shape.ids :] += n
 
-    def _move(self, rows: np.ndarray, grad: np.ndarray, columns: slice) -> None:
-        squares = self.squares[rows, columns] + grad * grad
-        self.squares[rows, columns] = squares
-        self.params[rows, columns] += self.rate * grad / np.sqrt(squares)
-
 
 def train_part(batches: Iterable[np.ndarray], trainer: Trainer) -> None:
     """Train on rows (before last, last, word), a batch at a time."""
@@ -232,34 +283,41 @@ def train_part(batches: Iterable[np.ndarray], trainer: Trainer) -> None:
     for grams in chain(batches, [None]):
         if grams is not None:
             kept.append(grams)
-        if grams is None or sum(map(len, kept)) >= 64 * BATCH:
+        if grams is None or sum(map(len, kept)) >= SHUFFLED * BATCH:
             rows = np.concatenate(kept) if kept else np.zeros((0, 3), np.int64)
             rows = rows[trainer.rng.permutation(len(rows))]
-            for at in range(0, len(rows), BATCH):
-                trainer.step(*rows[at : at + BATCH].T)
+            size = min(BATCH, max(LEAST_BATCH, len(rows) // 16))
+            for at in range(0, len(rows), size):
+                trainer.step(*rows[at : at + size].T)
             kept = []
 
 
+def _ids(model):
+    """(text, turn) to (ids, turn)."""
+    def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(*model.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([packed(*placed([tokens(t) for t in batch.column(0).to_pylist()], places)), batch.column(1)], names=["ids", "turn"])
+            places.trim()
+
+    return ids
+
+
 def _train(model, shape: Shape, rate: float, turn: int):
-    """Texts to pieces of trained parameters: (piece, worker, payload), each row of a
-    payload times its weight, and the weight."""
+    """Ids of texts to pieces of trained parameters: (piece, worker, payload), each row
+    of a payload times its weight, and the weight."""
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, counts, params = model.value
-        worker, places = TaskContext.get().partitionId(), Places(words, shape.own)
+        counts, params = model.value
+        worker = TaskContext.get().partitionId()
         trainer = Trainer(params, counts, shape, rate, 1000 * worker + turn)
 
         def grams() -> Iterator[np.ndarray]:
-            shift = turn
             for batch in batches:
-                texts = [tokens(t) for t in batch.column(0).to_pylist()]
-                if texts:
-                    ids, at, _ = sequence(texts, places)
-                    at = at[shift % STRIDE :: STRIDE]
-                    shift += 1
+                if batch.num_rows:
+                    ids, at, _ = sequence(*unpacked(batch.column(0)))
                     yield np.column_stack([ids[at - 2], ids[at - 1], ids[at]])
-                    places.trim()
 
         train_part(grams(), trainer)
         if trainer.weight[-1] < 1:
@@ -277,13 +335,15 @@ def _add(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def trained(texts: DataFrame, words: list[bytes], counts: np.ndarray, shape: Shape, total: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after all rounds; ``texts`` has (text, turn)."""
+    """Parameters after all rounds; ``texts`` has (text, turn), or (ids, turn)."""
     spark, params = texts.sparkSession, fresh(counts, shape)
+    if "ids" not in texts.columns:
+        texts = texts.select("text", "turn").mapInArrow(_ids(spark.sparkContext.broadcast((words, shape.own))), f"ids binary, turn {texts.schema['turn'].dataType.simpleString()}")
     workers = max(8, total // WORKER_TOKENS)
     for turn in range(rounds):
-        model = spark.sparkContext.broadcast((words, counts, params))
+        model = spark.sparkContext.broadcast((counts, params))
         rate = RATE * (1 - turn / rounds)
-        sums = texts.where(F.col("turn") == turn).select("text").coalesce(workers).mapInArrow(_train(model, shape, rate, turn), "piece long, worker long, payload binary")
+        sums = texts.where(F.col("turn") == turn).select("ids").coalesce(workers).mapInArrow(_train(model, shape, rate, turn), "piece long, worker long, payload binary")
         left = workers
         while True:
             left = -(-left // FAN)
@@ -377,20 +437,21 @@ def scored(rows: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
         tail_n[tail(w)] -= n
         tail_v[tail(w)] -= 1
     counts = np.concatenate([[0, ends["n"] if ends else 0], n_of[: shape.own], tail_n])
-    turn = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col)))), F.lit(ROUNDS)).alias("turn")
-    params = trained(rows.where(learned).select(text, turn), words[: shape.own], counts, shape, total)
-
     # Words that are counted but have no vector come after the ids, in order; the
     # tails of unknown words last.
     base_of = lambda n: np.log10(n + 0.5) - np.log10(total + 0.5 * (distinct + 1))
     share_of = np.log10(tail_n + 0.5 * (tail_v + 1))
-    model = spark.sparkContext.broadcast((words, n_of, params, shape, counts[END] > 0, base_of(counts[END]), base_of(n_of), share_of))
+    model = spark.sparkContext.broadcast((words, n_of, shape, counts[END] > 0, base_of(counts[END]), base_of(n_of), share_of))
     own = [id_col, *keep]
-    asked = rows.select(text, F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.drop("text").schema)
-    first = common.stored(asked.mapInArrow(_score(model), f"{kinds}, n_tokens long, n_known long, base double, bits double, rare array<binary>"))
-
-    rare = first.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
+    turn = F.when(learned, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col)))), F.lit(ROUNDS))).alias("turn")
+    asked = rows.select(text, turn, F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)))
+    kinds = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    placed_rows = common.stored(asked.mapInArrow(_place(model), f"{kinds(asked.drop('text'))}, n_tokens long, n_known long, base double, share double, ids binary, rare array<binary>"))
+    params = trained(placed_rows.where("turn is not null").select("ids", "turn"), words[: shape.own], counts, shape, total)
+    known = placed_rows.select("ids", "row", *(f"own_{i}" for i in range(len(own))), "n_tokens", "n_known", "base", "share")
+    first = common.stored(known.mapInArrow(_score(spark.sparkContext.broadcast((params, shape))), f"{kinds(known.drop('ids', 'share'))}, bits double"))
+
+    rare = placed_rows.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
     met = rare.join(vocabulary.select("word", "n"), "word", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
     base = F.log10(F.col("n") + 0.5) - F.lit(float(np.log10(total + 0.5 * (distinct + 1))))
     sums = met.repartition("row").groupBy("row").agg(F.sum((F.col("n") > 0).cast("long")).alias("k"), F.sum(base).alias("b"), F.sum(F.log10(F.col("n") + 0.5)).alias("s"))
@@ -401,11 +462,11 @@ def scored(rows: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
     )
 
 
-def _score(model):
-    """(text, row, ..) to (row, .., sums over the words whose counts are at hand, and
-    the others); of these the model's part is in the sums, their counts are not."""
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n_of, params, shape, ends, end_base, bases, shares = model.value
+def _place(model):
+    """(text, turn, row, ..) to (turn, row, .., sums over the words whose counts are at
+    hand, ids, and the other words)."""
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n_of, shape, ends, end_base, bases, shares = model.value
         own, tails = shape.own, FIRST + shape.own
         # By place: the id, the base score, the share of a tail, known or not.
         known = np.array([tail(w) for w in words[own:]], np.int64)
@@ -420,18 +481,31 @@ def _score(model):
             texts = [tokens(t) for t in batch.column(0).to_pylist()]
             if not texts:
                 continue
-            place, at, starts = sequence(texts, places)
-            ids, now = id_of[place], place[at]
-            bits = log_shares(params, shape, ids[at - 2], ids[at - 1], ids[at]) + share_of[now]
+            now, counted = placed(texts, places)
+            starts = np.concatenate([[0], np.cumsum(counted)[:-1]]).astype(np.int64)
             missing = (now >= tails) & (now < tails + TAILS)
             flat = list(chain.from_iterable(texts))
             rare = pa.array([flat[i] for i in np.flatnonzero(missing)], pa.binary())
             sizes = np.add.reduceat(missing.astype(np.int64), starts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), rare)
-            columns = [pa.array(np.diff(np.append(starts, len(at))), pa.int64()), pa.array(np.add.reduceat(seen[now].astype(np.int64), starts), pa.int64()), pa.array(np.add.reduceat(base_of[now], starts)), pa.array(np.add.reduceat(bits, starts)), lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*batch.schema.names[1:], "n_tokens", "n_known", "base", "bits", "rare"])
+            columns = [pa.array(counted, pa.int64()), pa.array(np.add.reduceat(seen[now].astype(np.int64), starts), pa.int64()), pa.array(np.add.reduceat(base_of[now], starts)), pa.array(np.add.reduceat(share_of[now], starts)), packed(id_of[now], counted), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*batch.schema.names[1:], "n_tokens", "n_known", "base", "share", "ids", "rare"])
             places.trim()
 
+    return place
+
+
+def _score(model):
+    """(ids, .., share) to (.., the model's part of the score and the share)."""
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params, shape = model.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, at, starts = sequence(*unpacked(batch.column(0)))
+            bits = np.add.reduceat(log_shares(params, shape, ids[at - 2], ids[at - 1], ids[at]), starts) + batch.column("share").to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:-1], pa.array(bits)], names=[*batch.schema.names[1:-1], "bits"])
+
     return score
 
 

@@ -131,3 +131,21 @@ def test_nothing_to_learn_from(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert lm.op5_lm_score(spark, str(tmp_path)).count() == 0
+
+
+def test_every_position_of_the_training_texts_is_learned_from(spark, monkeypatch):
+    texts = [(" ".join(f"w{k}x{j}" for j in range(k % 50)).encode(), k % 3) for k in range(120)]
+    total = sum(len(lm.tokens(t)) for t, _ in texts)
+    rows = spark.createDataFrame(texts, "text binary, turn int").repartition(4)
+    collect, weights = type(rows).toArrow, []
+
+    def kept(self):
+        out = collect(self)
+        whole = b"".join(out.sort_by("piece").column("payload").to_pylist())
+        weights.append(np.frombuffer(whole, np.float32).reshape(-1, lm.WIDTH + 2)[-1, -1])
+        return out
+
+    monkeypatch.setattr(type(rows), "toArrow", kept)
+    # The matrices' last row weighs as many positions as moved it, in each round.
+    lm.trained(rows, [b"the"] * 8, np.concatenate([[0, 120.0], np.ones(8 + lm.TAILS)]), lm.Shape(8), total)
+    assert len(weights) == 3 and round(float(sum(weights))) == total
