@@ -40,6 +40,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -61,7 +62,9 @@ FEW = 16
 WIDTH, SAMPLE = 64, 20_000
 TERMS = 1 << 16
 #: How byte-level vocabularies split a text (fixed value, from the format).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+$|\s+(?!\S)|\s"""
+#: The same for texts without two white spaces in a row; no look-ahead, so faster.
+PLAIN = PATTERN.replace(r"\s+$|\s+(?!\S)|", "")
 
 
 class Encoder:
@@ -85,10 +88,23 @@ class Encoder:
         ranks = {bytes(map(letters.__getitem__, w)): i for w, i in spec["model"]["vocab"].items() if w not in special}
         if max([*ranks.values(), *special.values()]) >= 1 << 16:
             raise ValueError("ids must fit in two bytes")
-        self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.own, self.plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens=special) for p in (PATTERN, PLAIN))
 
     def ids(self, text: str) -> np.ndarray:
-        return self.own.encode_to_numpy(text, allowed_special="all").astype("<u2")
+        use = self.own if spaces_in_a_row(text) else self.plain
+        return use.encode_to_numpy(text, allowed_special="all").astype("<u2")
+
+
+def spaces_in_a_row(text: str) -> bool:
+    """Whether two white spaces may follow each other; for sure if not."""
+    if not text.isascii():
+        return bool(_SPACES.search(text))
+    low = np.frombuffer(text.encode(), np.uint8) <= 32
+    return bool((low[1:] & low[:-1]).any())
+
+
+#: Python's white space has all that Unicode's has, and more.
+_SPACES = re.compile(r"\s\s")
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -260,7 +276,7 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics) -> None:
         self.used = np.zeros(len(docs), bool)
-        n = len(docs)
+        n = self.live = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         terms = np.concatenate([t for t, _ in found]).astype(np.int64)
         counts = np.concatenate([c for _, c in found]).astype(np.float32)
@@ -274,10 +290,22 @@ class Index:
         self.bounds = np.searchsorted(terms[order], np.arange(TERMS + 1))
         self.query = np.split(terms[keep], np.cumsum(np.bincount(owner[keep], minlength=n))[:-1])
 
+    def _drop_used(self) -> None:
+        """Take placed remainders out of the postings once they are a fifth of them;
+        the order of the others, so their scores, stay."""
+        live = len(self.used) - int(np.count_nonzero(self.used))
+        if live > 0.8 * self.live:
+            return
+        keep = ~self.used[self.owner]
+        self.bounds = np.concatenate([[0], np.cumsum(keep)])[self.bounds]
+        self.owner, self.weight, self.live = self.owner[keep], self.weight[keep], live
+
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share a query term, best first, smaller numbers
         first among equals. The few best are sorted before the others."""
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.query[seed]]
+        self._drop_used()
+        own = self.query[seed]
+        spans = [slice(lo, hi) for lo, hi in zip(self.bounds[own].tolist(), self.bounds[own + 1].tolist()) if lo < hi]
         if not spans:
             return
         scores = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.used))

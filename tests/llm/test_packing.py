@@ -156,3 +156,29 @@ def test_sequence_ids_fit():
 def test_clashing_columns_are_left_out(spark):
     rows = spark.createDataFrame([(1, "some words", 5, "x", 9)], "doc_id long, text string, start long, ids string, leaf long")
     assert packing.packed(rows, FILE).columns == list(packing.PIECE)
+
+
+def test_texts_without_spaces_in_a_row_take_the_pattern_without_look_ahead(library):
+    rng = random.Random(8)
+    spaces = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0", " ", " ", " ", " ", "　", "​"]
+    words = ["the", "I'm", "é", "12", "...", "<|endoftext|>", "漢字", "'ll", "_"]
+    enc, ways = packing.encoder(FILE), defaultdict(int)
+    for k in range(4_000):
+        t = "".join(rng.choice(spaces if k % 2 else [" ", "\n", "\t"]) * (rng.random() < 0.9) + rng.choice(words) for _ in range(rng.randint(0, 8)))
+        t += rng.choice(["", " ", "\n", "\n\n", " \xa0 x"])
+        ways[packing.spaces_in_a_row(t)] += 1
+        assert enc.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert min(ways.values()) > 500 and not packing.spaces_in_a_row("a b\nc é d") and packing.spaces_in_a_row("é 　")
+
+
+def test_placed_remainders_leave_the_postings():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 60, rng.integers(5, 40)).astype("<u2") for _ in range(200)]
+    stats = packing.Statistics.of([*docs, *(np.array([k]) for k in range(100, 400))])
+    index, whole = packing.Index(docs, stats), packing.Index(docs, stats)
+    size = len(index.owner)
+    index.used[:] = whole.used[:] = rng.random(200) < 0.7
+    whole.live = 0  # never dropped
+    for seed in range(0, 200, 7):
+        assert [*index.neighbours(seed)] == [*whole.neighbours(seed)]
+    assert len(index.owner) < 0.5 * size and not index.used[index.owner].any()
